@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import spans
+from . import neardup, spans
 from ._common import read
 
 
+def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments that p5 speaks of."""
+    return read(spark, sf_dir, "ticket_comments").filter("channel <> 'email'")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
+        "p5_groups": lambda s, d: neardup.near_groups(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
         "p8_found": lambda s, d: spans.shared_spans(read(s, d, "documents")),
         "p8_shared_share": lambda s, d: spans.shared_share(read(s, d, "documents")),
     }
