@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, spans
+from . import neardup, normalize, spans
 from ._common import read
 
 
@@ -16,8 +16,17 @@ def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "ticket_comments").filter("channel <> 'email'")
 
 
+def _both(f: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``f(table, id, text column)`` of the comments and of the tickets, with ``src`` in front."""
+    parts = [("comment", "ticket_comments", "comment_id", "body"), ("ticket", "tickets", "ticket_id", "description")]
+    got = [(src, f(read(spark, sf_dir, table), id_col, text)) for src, table, id_col, text in parts]
+    return got[0][1].select(F.lit(got[0][0]).alias("src"), "*").union(got[1][1].select(F.lit(got[1][0]).alias("src"), "*"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": lambda s, d: _both(lambda df, i, t: normalize.look_alike_pairs(df, i, "ticket_key", t), s, d),
+        "p2_consistent_text": lambda s, d: _both(lambda df, i, t: normalize.consistent(df, [i], t).select(F.col(i).alias("id"), "text", "form"), s, d),
         "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
         "p5_groups": lambda s, d: neardup.near_groups(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
         "p8_found": lambda s, d: spans.shared_spans(read(s, d, "documents")),
