@@ -8,7 +8,7 @@ branches again.  Nodes that stay large to the end hold sets that agree nearly ev
 by block, nothing is dropped.  What the sketches leave is verified on the words themselves.
 
 A pair at the threshold survives a tree with a probability of about 0.5 (a critical branching process), so that
-``TREES`` trees miss about one in a thousand; more similar pairs are missed far less.
+``TREES`` trees miss a few in a thousand of these; more similar pairs are missed far less.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from ._graph import components
 from ._hashing import mix
 
 #: Independent trees.
-TREES = 12
+TREES = 8
 #: Sets that a node may hold to be compared exhaustively.
-NODE = 256
+NODE = 1024
 #: Levels after which a node that is still large is compared in blocks.
 DEPTH = 12
 #: Minwise tokens of a set: the first PATH choose the paths, all give a bit of the sketch.
@@ -37,19 +37,26 @@ MINWISE, PATH = 128, 48
 #: Standard deviations that a pair's sketch may fall short of the threshold.
 SLACK = 4.0
 
+#: Stands between tokens and in none of them.
+_BETWEEN = "\u0001"
+
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 2**63, MINWISE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, MINWISE, dtype=np.int64).astype(np.uint64)
 
 
+def _runs(text: Column) -> Column:
+    return F.array_remove(F.split(F.translate(F.lower(text), "'’", ""), "[^a-z0-9]+"), "")
+
+
 def words(text: Column) -> Column:
     """Distinct words: lower case, apostrophes deleted, maximal runs of a-z and 0-9."""
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower(text), "['’]", ""), F.lit("([a-z0-9]+)"), 1))
+    return F.array_distinct(_runs(text))
 
 
 def shingles(text: Column, width: int = 5) -> Column:
     """Distinct runs of ``width`` words; of a shorter text its whole."""
-    w = F.regexp_extract_all(F.regexp_replace(F.lower(text), "['’]", ""), F.lit("([a-z0-9]+)"), 1)
+    w = _runs(text)
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
     return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
@@ -187,8 +194,10 @@ def _in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _prepared(df: DataFrame, id_col: str, tokens: Column, least: int) -> DataFrame:
-    """``id, key, tokens`` of the records whose set has ``least`` tokens or more; the key is a 64-bit hash of the set."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.array_sort(tokens).alias("tokens")).filter(F.col("id").isNotNull() & (F.size("tokens") >= max(least, 1))).select("id", F.xxhash64("tokens").alias("key"), "tokens")
+    """``id, key, tokens`` of the records whose set has ``least`` tokens or more, distinct; the tokens are one sorted
+    string, the key is its 64-bit hash."""
+    sets = df.select(F.col(id_col).cast("long").alias("id"), F.array_sort(tokens).alias("tokens")).filter(F.col("id").isNotNull() & (F.size("tokens") >= max(least, 1)))
+    return sets.select("id", F.array_join("tokens", _BETWEEN).alias("tokens")).select("id", F.xxhash64("tokens").alias("key"), "tokens")
 
 
 def near_pairs(df: DataFrame, id_col: str, tokens: Column, threshold: float = 0.8, least: int = 1, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
@@ -198,14 +207,14 @@ def near_pairs(df: DataFrame, id_col: str, tokens: Column, threshold: float = 0.
     Rows with a null id or null or fewer than ``least`` tokens have no links and no key.  Repeated ids may hold
     different sets.  Other columns are ignored, whatever their names.
     """
-    base = _prepared(df, id_col, tokens, least)
-    hashed = base.select("key", F.transform("tokens", lambda w: F.xxhash64(w)).alias("hashes"))
+    base = stored(_prepared(df, id_col, tokens, least))
+    hashed = base.select("key", F.transform(F.split("tokens", _BETWEEN), lambda w: F.xxhash64(w)).alias("hashes"))
     sketched = hashed.mapInArrow(_sketches, "key long, n int, s0 long, s1 long, path array<int>")
     sets = stored(sketched.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1", "path")]))
     may = stored(set_pairs(sets, threshold, trees))
     keys = may.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     held = stored(base.select("key", "tokens").join(keys, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens")))
-    one = lambda c: held.select(F.col("key").alias(c), F.col("tokens").alias(f"t{c}"))
+    one = lambda c: held.select(F.col("key").alias(c), F.split("tokens", _BETWEEN).alias(f"t{c}"))
     common = F.size(F.array_intersect("ta", "tb"))
     links = may.join(one("a"), "a").join(one("b"), "b").filter(common >= threshold * (F.size("ta") + F.size("tb") - common)).select("a", "b")
     return stored(links), base.select("id", "key").distinct()
