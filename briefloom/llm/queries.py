@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, normalize, spans
+from . import leak, neardup, normalize, spans
 from ._common import read
 
 
@@ -29,6 +29,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_consistent_text": lambda s, d: _both(lambda df, i, t: normalize.consistent(df, [i], t).select(F.col(i).alias("id"), "text", "form"), s, d),
         "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
         "p5_groups": lambda s, d: neardup.near_groups(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
+        "p7_found": lambda s, d: leak.leaked_documents(read(s, d, "documents"), read(s, d, "eval_items")),
+        "p7_passages": lambda s, d: leak.leaked_passages(read(s, d, "documents"), read(s, d, "eval_items"), least_words=20, max_edits=1),
         "p8_found": lambda s, d: spans.shared_spans(read(s, d, "documents")),
         "p8_shared_share": lambda s, d: spans.shared_share(read(s, d, "documents")),
     }
