@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leak, neardup, normalize, spans
+from . import leak, neardup, normalize, pii, spans
 from ._common import read
 
 
@@ -23,10 +23,17 @@ def _both(f: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> Data
     return got[0][1].select(F.lit(got[0][0]).alias("src"), "*").union(got[1][1].select(F.lit(got[1][0]).alias("src"), "*"))
 
 
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the authors of all comments."""
+    return pii.name_gazetteer(read(spark, sf_dir, "ticket_comments"), "author")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": lambda s, d: _both(lambda df, i, t: normalize.look_alike_pairs(df, i, "ticket_key", t), s, d),
         "p2_consistent_text": lambda s, d: _both(lambda df, i, t: normalize.consistent(df, [i], t).select(F.col(i).alias("id"), "text", "form"), s, d),
+        "p3_found": lambda s, d: _both(lambda df, i, t: pii.mentions(df, i, t, _people(s, d)).select("rec_id", "kind", "start_pos"), s, d).distinct(),
+        "p3_masked": lambda s, d: _both(lambda df, i, t: pii.masked(df, i, t, _people(s, d)), s, d),
         "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
         "p5_groups": lambda s, d: neardup.near_groups(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
         "p7_found": lambda s, d: leak.leaked_documents(read(s, d, "documents"), read(s, d, "eval_items")),
