@@ -154,28 +154,21 @@ def set_pairs(sets: DataFrame, threshold: float, trees: int = TREES) -> DataFram
     many = sets.count()
     light = ["node", "key", "n", "s0", "s1"]
     start = max(0, min(DEPTH - 1, int(math.log(max(many, 1) / NODE, 6)))) if many > NODE else 0
-    rows = sets.withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(trees if start else 1)))).withColumn("node", F.xxhash64("node"))
+    rows = sets.withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(trees if many > NODE else 1)))).withColumn("node", F.xxhash64("node"))
     for _ in range(start):
         rows = _branch(rows, threshold)
-    rows = rows.select(*light)
-    if start:
-        rows = stored(rows)
-    found, depth = [], start
-    while True:
-        large = rows.groupBy("node").count().filter(F.col("count") > NODE)
-        if start == 0:
-            return _in_nodes(rows.withColumn("side", F.lit(0)), threshold).distinct()
-        marked = rows.join(large, "node", "left")
-        found.append(stored(_in_nodes(marked.filter("count is null").select(*light, F.lit(0).alias("side")), threshold)))
-        rest = marked.filter("count is not null")
-        if depth >= DEPTH:
-            found.append(stored(_in_blocks(rest, threshold)))
-            break
-        down = rest.select("node", "key").join(sets, "key")
-        rows = stored(_branch(down, threshold).select(*light))
-        depth += 1
-        if rows.isEmpty():
+    found = []
+    for depth in range(start, DEPTH + 1):
+        # Each level is computed anew from the sets, without an exchange: only the nodes that branch on are kept, of
+        # which there is one at most for NODE rows; Spark broadcasts them below its threshold and joins by sort above.
+        large = stored(rows.groupBy("node").count().filter(F.col("count") > NODE))
+        found.append(stored(_in_nodes(rows.select(*light).join(large, "node", "left_anti").withColumn("side", F.lit(0)), threshold)))
+        if large.isEmpty():
             break
+        if depth == DEPTH:
+            found.append(stored(_in_blocks(rows.select(*light).join(large, "node"), threshold)))
+        else:
+            rows = _branch(rows.join(large, "node", "left_semi"), threshold)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
