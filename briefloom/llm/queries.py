@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leak, neardup, normalize, pii, spans
+from . import leak, mail, neardup, normalize, packing, pii, spans
 from ._common import read
 
 
@@ -28,14 +28,24 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.name_gazetteer(read(spark, sf_dir, "ticket_comments"), "author")
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    rows = read(spark, sf_dir, "pack_sizes").filter("pack_id is not null and capacity_tokens > 0").distinct().orderBy("pack_id").limit(packing.MOST_CAPACITIES + 1).collect()
+    capacities = [(r["pack_id"], r["capacity_tokens"]) for r in rows]  # packed() refuses more than the limit
+    return packing.packed(packing.token_counts(read(spark, sf_dir, "documents")), capacities), capacities
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": lambda s, d: _both(lambda df, i, t: normalize.look_alike_pairs(df, i, "ticket_key", t), s, d),
         "p2_consistent_text": lambda s, d: _both(lambda df, i, t: normalize.consistent(df, [i], t).select(F.col(i).alias("id"), "text", "form"), s, d),
         "p3_found": lambda s, d: _both(lambda df, i, t: pii.mentions(df, i, t, _people(s, d)).select("rec_id", "kind", "start_pos"), s, d).distinct(),
         "p3_masked": lambda s, d: _both(lambda df, i, t: pii.masked(df, i, t, _people(s, d)), s, d),
+        "p4_found": lambda s, d: mail.old_lines(read(s, d, "ticket_comments")),
+        "p4_new_text": lambda s, d: mail.newly_written(read(s, d, "ticket_comments")).select("id", "new_text"),
         "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
         "p5_groups": lambda s, d: neardup.near_groups(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
+        "p6_packed": lambda s, d: _packed(s, d)[0],
+        "p6_fill": lambda s, d: packing.fill(*_packed(s, d)),
         "p7_found": lambda s, d: leak.leaked_documents(read(s, d, "documents"), read(s, d, "eval_items")),
         "p7_passages": lambda s, d: leak.leaked_passages(read(s, d, "documents"), read(s, d, "eval_items"), least_words=20, max_edits=1),
         "p8_found": lambda s, d: spans.shared_spans(read(s, d, "documents")),
