@@ -4,14 +4,265 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import nested
+from ..functions import text as T
+from ..functions import vocab
+from ..operators import clean, dedup, export, nested
+from ..sources import tickets as src
+from .briefs import Briefs
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": lambda spark, sf: nested.ticket_children(spark.read.parquet(f"{sf}/raw_tickets.parquet"))}
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct comments with a text."""
+    return _read(spark, sf, "ticket_comments").filter("body is not null").select("comment_id", F.col("body").alias("t")).distinct()
+
+
+def _descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "tickets").filter("description is not null").select("ticket_id", F.col("description").alias("t")).distinct()
+
+
+def _tickets(spark: SparkSession, sf: str) -> src.Tickets:
+    return src.from_tables(_read(spark, sf, "tickets"), _read(spark, sf, "ticket_comments"))
+
+
+def _briefs(spark: SparkSession, sf: str, levels: list[str] | None = None) -> Briefs:
+    t = _tickets(spark, sf)
+    return Briefs(t.heads, t.comments, levels)
+
+
+def _on_bodies(name: str, f: Callable[[Column], Column]) -> Query:
+    return lambda s, d: _bodies(s, d).select("comment_id", f(F.col("t")).alias(name))
+
+
+def _on_descriptions(name: str, f: Callable[[Column], Column]) -> Query:
+    return lambda s, d: _descriptions(s, d).select("ticket_id", f(F.col("t")).alias(name))
+
+
+def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return _descriptions(spark, sf).select("ticket_id", F.posexplode(T.sentences(F.col("t"))).alias("pos", "sentence"))
+
+
+def _said(pattern: str) -> Query:
+    return lambda s, d: _sentences(s, d).filter(F.col("sentence").rlike(pattern))
+
+
+def _flat(records: DataFrame) -> DataFrame:
+    """Records with their lists as text, so that any engine can compare them."""
+    lists = ["architecture", "decisions", "constraints", "acceptanceCriteria", "risks", "todos", "dependencies", "relatedIssues", "ignoredContent"]
+    return records.withColumns({x: F.array_join(x, "\n") for x in lists})
+
+
+def _block_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs of descriptions as items of one group a ticket key."""
+    rows = _read(spark, sf, "tickets").filter("ticket_key is not null and description is not null").select("ticket_key", "ticket_id", F.posexplode(T.blocks(T.normal_spaces(F.col("description")))).alias("k", "text"))
+    return rows.select(F.col("ticket_key").alias("g"), (F.col("ticket_id") * 10000 + F.col("k")).alias("n"), T.normal_form(F.col("text")).alias("form"))
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {
+        "p1_found": lambda s, d: nested.ticket_children(_read(s, d, "raw_tickets")),
+        "p1_nodes": lambda s, d: nested.NestedRecords(_read(s, d, "raw_tickets"), "raw_id", "payload").nodes().select("record_id", "node_key", "parent_key", "path", "ord"),
+        # sources
+        "jira_heads": lambda s, d: src.from_json(_read(s, d, "raw_tickets"), "raw_id", "payload").heads.withColumn("metadata", F.to_json("metadata")),
+        "jira_comments": lambda s, d: src.from_json(_read(s, d, "raw_tickets"), "raw_id", "payload").comments,
+        "comment_order": lambda s, d: _tickets(s, d).comments.select("doc", "no", "author", "body"),
+        "raw_context": lambda s, d: src.raw_context(_tickets(s, d)),
+        # cleaning and splitting
+        "normal_spaces": _on_bodies("text", T.normal_spaces),
+        "html_hint": _on_descriptions("is_html", T.looks_like_html),
+        "html_to_text": _on_descriptions("text", T.html_to_text),
+        "mail_quote_cut": _on_bodies("text", lambda c: T.cut_mail_quote(T.normal_spaces(c))),
+        "quoted_lines": _on_bodies("text", lambda c: T.drop_quoted_lines(T.normal_spaces(c))),
+        "signature_cut": _on_bodies("text", lambda c: T.cut_signature(T.normal_spaces(c))),
+        "squeeze": _on_bodies("text", lambda c: T.squeeze(T.normal_spaces(c))),
+        "cleaned": lambda s, d: clean.cleaned(_descriptions(s, d), "t").select("ticket_id", F.col("t").alias("text")),
+        "block_split": lambda s, d: _bodies(s, d).select("comment_id", F.posexplode(T.blocks(T.normal_spaces(F.col("t")))).alias("pos", "block")),
+        "sentence_split": _sentences,
+        "normal_form": _on_bodies("form", T.normal_form),
+        "word_set_size": _on_bodies("n_words", lambda c: F.size(T.word_set(T.normal_form(c)))),
+        # filters
+        "log_dump_detect": _on_bodies("is_log", T.is_log_dump),
+        "noise_reason": lambda s, d: _read(s, d, "ticket_comments").filter("body is not null").select("comment_id", T.noise_reason(F.col("body"), F.col("author"), F.col("bot")).alias("reason")).distinct(),
+        "noise_counts": lambda s, d: clean.noise_report(clean.sources(*_heads_and_comments(s, d))),
+        # extractors
+        "decisions": _said(vocab.words(vocab.DECISION)),
+        "rejections": _said(vocab.words(vocab.REJECTION)),
+        "architecture_hints": _said(vocab.words(vocab.ARCHITECTURE)),
+        "requirements": _said(vocab.words(vocab.REQUIREMENT)),
+        "todos": _said(vocab.words(vocab.TODO)),
+        "risks": lambda s, d: _sentences(s, d).filter(~F.col("sentence").rlike(vocab.DEPENDENCY_PATTERN) & F.col("sentence").rlike(vocab.words(vocab.RISK))),
+        "dependencies": _said(vocab.DEPENDENCY_PATTERN),
+        "goal_sentences": _said(vocab.words(vocab.GOAL_SENTENCE)),
+        "section_items": lambda s, d: clean.cleaned(_descriptions(s, d), "t").select("ticket_id", F.posexplode(T.section_items(F.col("t"))).alias("pos", "item")),
+        "scenarios": lambda s, d: clean.cleaned(_descriptions(s, d), "t").select("ticket_id", F.posexplode(T.scenarios(F.col("t"))).alias("pos", "scenario")),
+        "issue_keys": lambda s, d: _bodies(s, d).select("comment_id", F.posexplode(T.issue_keys(F.col("t"))).alias("pos", "key")),
+        # near-duplicates
+        "near_dup_pairs": lambda s, d: dedup.near_edges(_block_rows(s, d).groupBy("g", "form").agg(F.min("n").alias("n"))).select("g", "a", "b"),
+        "duplicate_collapse": lambda s, d: dedup.collapse(_block_rows(s, d)).select("g", "n", "kept_by"),
+        # the plan's steps and records
+        "plan_blocks": lambda s, d: _briefs(s, d).blocks.select("doc", "n", "kept_by", "text"),
+        "plan_extracts": lambda s, d: _briefs(s, d).extracts,
+        "block_score": lambda s, d: _briefs(s, d).scored.withColumn("categories", F.array_join("categories", ",")).drop("text"),
+        "section_gate": lambda s, d: _briefs(s, d).lists,
+        "cir_full": lambda s, d: _flat(_briefs(s, d, ["FULL"]).records),
+        "cir_levels": lambda s, d: _flat(_briefs(s, d).records),
+        "cir_by_level": lambda s, d: _briefs(s, d).records.groupBy("level").agg(F.count("*").alias("n"), F.avg("compressionRatio").alias("ratio"), F.avg("confidence").alias("confidence")),
+        "markdown_brief": lambda s, d: export.rendered(_briefs(s, d, ["FULL"]).records, "markdown"),
+        "json_brief": lambda s, d: export.rendered(_briefs(s, d, ["FULL"]).records, "json"),
+        "document_briefs": lambda s, d: _flat(Briefs(src.from_documents(_read(s, d, "documents")).heads, src.from_documents(_read(s, d, "documents")).comments, ["FULL"]).records),
+        # metrics
+        "token_estimate": _on_bodies("tokens", T.estimated_tokens),
+        "context_reduction": _context_reduction,
+    }
+    return out
+
+
+def _heads_and_comments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    t = _tickets(spark, sf)
+    return t.heads, t.comments
+
+
+def _context_reduction(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the raw context and of its brief, and the part saved."""
+    t = _tickets(spark, sf)
+    before = src.raw_context(t).select("doc", T.estimated_tokens(F.col("text")).alias("tokens_before"))
+    after = export.rendered(Briefs(t.heads, t.comments, ["FULL"]).records, "md").select("doc", T.estimated_tokens(F.col("text")).alias("tokens_after"))
+    saved = F.when(F.col("tokens_before") > 0, F.greatest(F.lit(0.0), 1.0 - F.col("tokens_after") / F.col("tokens_before"))).otherwise(0.0)
+    return before.join(after, "doc").select("*", saved.alias("reduction"))
+
+
+# ---- SQL ----------------------------------------------------------------------------------------------------------
+_BODIES = "SELECT DISTINCT comment_id, body AS t FROM ticket_comments WHERE body IS NOT NULL"
+_DESCRIPTIONS = "SELECT DISTINCT ticket_id, description AS t FROM tickets WHERE description IS NOT NULL"
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _re(text: str, pattern: str, to: str = "''", flags: str = "g") -> str:
+    return f"regexp_replace({text}, {_q(pattern)}, {to}, '{flags}')"
+
+
+def _sql_spaces(t: str) -> str:
+    return _re(_re(t, r"\r\n?", "chr(10)"), r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", "' '")
+
+
+def _sql_strip(t: str) -> str:
+    return _re(t, r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$")
+
+
+def _sql_form(t: str) -> str:
+    return f"trim({_re(f'''translate(lower({t}), '’' || chr(39), '')''', '[^a-z0-9]+', chr(39) + ' ' + chr(39))})"
+
+
+def _sql_words(phrases: list[str]) -> str:
+    return rf"(?i)(?:^|{_EDGE}){vocab.alternation(phrases)}(?:$|{_EDGE})"
+
+
+def _sql_sentences() -> str:
+    cut = _re(_sql_strip("t"), r"""([.!?])\s+([A-Z"'(\[])""", r"'\1' || chr(10) || '\2'")
+    return f"""SELECT ticket_id, (row_number() OVER (PARTITION BY ticket_id, t ORDER BY i) - 1)::INT AS pos, sentence FROM (
+        SELECT ticket_id, t, i, {_sql_strip("x")} AS sentence FROM (SELECT ticket_id, t, unnest(string_split({cut}, chr(10))) AS x, generate_subscripts(string_split({cut}, chr(10)), 1) AS i FROM ({_DESCRIPTIONS}))
+    ) WHERE sentence <> ''"""
+
+
+def _sql_said(where: str) -> str:
+    return f"SELECT * FROM ({_sql_sentences()}) WHERE {where}"
+
+
+def _sql_has(phrases: list[str]) -> str:
+    return f"regexp_matches(sentence, {_q(_sql_words(phrases))})"
+
+
+def _sql_log(t: str) -> str:
+    lines = f"regexp_split_to_array({_re(t, r'[ \t\n\x0b\f\r]+$')}, {_q(chr(92) + 'r' + chr(92) + 'n|[' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'x0b' + chr(92) + 'f' + chr(92) + 'x{85}' + chr(92) + 'x{2028}' + chr(92) + 'x{2029}]')})"
+    level = vocab.alternation(vocab.LOG_LEVELS)
+    like = rf"^(?:at .*|Caused by:.*|\d{{4}}-\d{{2}}-\d{{2}}[T ].*|\[?{level}\]?\b.*|\w+(?:\.\w+)+(?:Exception|Error)(?::.*)?)$"
+    n = f"len(list_filter({lines}, lambda x: regexp_matches({_sql_strip('x')}, {_q(like)})))"
+    return f"(len({lines}) >= 3 AND {n} >= greatest(3, floor(len({lines}) / 2)))"
+
+
+def _sql_dependency() -> str:
+    return f"regexp_matches(sentence, {_q(rf'(?i)(?:^|{_EDGE})(?:{vocab.alternation(vocab.DEPENDENCY)}|requires? (?:the )?(?:[a-z][\w-]+ )?{vocab.alternation(vocab.NEEDED_THINGS)})(?:$|{_EDGE})')})"
+
+
+def _sql_html(t: str) -> str:
+    for pattern, to in [(r"(?s)<!--.*?-->", "''"), (r"(?is)<script\b.*?</script\s*>", "''"), (r"(?is)<style\b.*?</style\s*>", "''"), (r"\s+", "' '"), (r"(?i)<br\b[^>]*>", "chr(10)"), (r"(?i)</?(?:p|div|tr|h[1-6])\b[^>]*>", "chr(10)"), (r"(?i)<li\b[^>]*> ?", "'- '"), (r"(?i)</li\s*>", "chr(10)"), (r"</?[A-Za-z][^>]*>", "''")]:
+        t = _re(t, pattern, to)
+    for name, to in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]:
+        t = f"replace({t}, '{name}', {_q(to)})"
+    return _re(t, " {2,}", "' '")
+
+
+def _sql_squeeze(t: str) -> str:
+    return _sql_strip(_re(_re(t, r"(?m)[ \t]+$"), r"\n{3,}", "chr(10) || chr(10)"))
+
+
+def _sql_reason(t: str) -> str:
+    text = _sql_strip(t)
+    bot = rf"(?i)(?:^|{_EDGE}){vocab.alternation(vocab.FILTER_BOTS)}(?:$|{_EDGE})"
+    body = r"(?i)^(?:build\s+#?\d+\s+(?:started|succeeded|failed|passed)|deployment\s+(?:started|completed|triggered)|branch\s+\S+\s+was\s+(?:created|deleted))[^\n]*$"
+    hello = rf"(?i)^{vocab.alternation(vocab.GREETINGS)}[\s!.,]*$"
+    signs = r"^[\p{So}\p{Sk}:;()\[\]{}\-_*+~^\s]+$"
+    return f"""CASE WHEN NOT regexp_matches({t}, '[^ \\t\\n\\x0b\\f\\r]') THEN 'empty'
+        WHEN coalesce(bot, false) OR regexp_matches(coalesce(author, ''), {_q(bot)}) OR regexp_matches({text}, {_q(body)}) THEN 'bot message'
+        WHEN regexp_matches({text}, {_q(hello)}) THEN 'greeting/acknowledgement'
+        WHEN regexp_matches({t}, {_q(signs)}) THEN 'emoji/symbol spam'
+        WHEN {_sql_log(t)} THEN 'log dump' END"""
+
+
+def _sql_blocks(table: str, key: str) -> str:
+    parts = f"regexp_split_to_array({_sql_spaces('t')}, '\\n\\s*\\n')"
+    return f"""SELECT {key}, (row_number() OVER (PARTITION BY {key}, t ORDER BY i) - 1)::INT AS pos, block FROM (
+        SELECT {key}, t, i, {_sql_strip("x")} AS block FROM (SELECT {key}, t, unnest({parts}) AS x, generate_subscripts({parts}, 1) AS i FROM ({table}))) WHERE block <> ''"""
+
+
+def _sql_pairs() -> str:
+    rows = _sql_blocks("SELECT ticket_key, ticket_id, description AS t FROM tickets WHERE ticket_key IS NOT NULL AND description IS NOT NULL", "ticket_key, ticket_id")
+    return f"""WITH r AS (SELECT ticket_key AS g, form, min(n) AS n, list_distinct(string_split(form, ' ')) AS w FROM (SELECT ticket_key, ticket_id * 10000 + pos AS n, {_sql_form("block")} AS form FROM ({rows})) GROUP BY 1, 2)
+        SELECT x.g, x.n AS a, y.n AS b FROM r x JOIN r y ON x.g = y.g AND x.n < y.n
+        WHERE (length(x.form) > 20 AND length(y.form) > 20 AND (contains(x.form, y.form) OR contains(y.form, x.form)))
+           OR (x.form <> '' AND y.form <> '' AND len(list_intersect(x.w, y.w)) >= 0.75::DOUBLE * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))))"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    on_bodies = lambda name, sql: f"SELECT comment_id, {sql} AS {name} FROM ({_BODIES})"
+    on_descriptions = lambda name, sql: f"SELECT ticket_id, {sql} AS {name} FROM ({_DESCRIPTIONS})"
+    keys = r"'\b[A-Z][A-Z0-9]{1,9}-\d+\b-?'"
+    return {
+        "normal_spaces": on_bodies("text", _sql_spaces("t")),
+        "html_hint": on_descriptions("is_html", r"regexp_matches(t, '(?i)<\s*(?:p|div|br|span|table|ul|ol|li|b|i|strong|em|h1|h2|h3|h4|h5|h6|a)\b')"),
+        "html_to_text": on_descriptions("text", _sql_html("t")),
+        "mail_quote_cut": on_bodies("text", _re(_sql_spaces("t"), r"(?is)(?:^|\n)On [^\n]{5,120} wrote:[ \t\x0b\f\r]*(?:\n.*)?$", "CASE WHEN regexp_matches(" + _sql_spaces("t") + r", '(?i)^On [^\n]{5,120} wrote:[ \t\x0b\f\r]*(?:\n|$)') THEN '' ELSE chr(10) END", "")),
+        "squeeze": on_bodies("text", _sql_squeeze(_sql_spaces("t"))),
+        "block_split": _sql_blocks(_BODIES, "comment_id"),
+        "sentence_split": _sql_sentences(),
+        "normal_form": on_bodies("form", _sql_form("t")),
+        "word_set_size": on_bodies("n_words", f"CASE WHEN {_sql_form('t')} = '' THEN 0 ELSE len(list_distinct(string_split({_sql_form('t')}, ' '))) END::INT"),
+        "log_dump_detect": on_bodies("is_log", _sql_log("t")),
+        "noise_reason": f"SELECT DISTINCT comment_id, {_sql_reason('body')} AS reason FROM ticket_comments WHERE body IS NOT NULL",
+        "decisions": _sql_said(_sql_has(vocab.DECISION)),
+        "rejections": _sql_said(_sql_has(vocab.REJECTION)),
+        "architecture_hints": _sql_said(_sql_has(vocab.ARCHITECTURE)),
+        "requirements": _sql_said(_sql_has(vocab.REQUIREMENT)),
+        "todos": _sql_said(_sql_has(vocab.TODO)),
+        "risks": _sql_said(f"NOT {_sql_dependency()} AND {_sql_has(vocab.RISK)}"),
+        "dependencies": _sql_said(_sql_dependency()),
+        "goal_sentences": _sql_said(_sql_has(vocab.GOAL_SENTENCE)),
+        "issue_keys": f"""SELECT comment_id, (row_number() OVER (PARTITION BY comment_id, t ORDER BY i) - 1)::INT AS pos, key FROM (
+            SELECT comment_id, t, unnest(regexp_extract_all(t, {keys})) AS key, generate_subscripts(regexp_extract_all(t, {keys}), 1) AS i FROM ({_BODIES})) WHERE key NOT LIKE '%-'""",
+        "comment_order": """SELECT ticket_key AS doc, row_number() OVER (PARTITION BY ticket_key ORDER BY comment_id) AS no, author, body FROM (
+            SELECT ticket_key, comment_id, arg_min(struct_pack(author := author, body := body), ingested_at) AS c FROM ticket_comments WHERE ticket_key IS NOT NULL AND comment_id IS NOT NULL GROUP BY 1, 2) s, LATERAL (SELECT s.c.author AS author, s.c.body AS body)""",
+        "near_dup_pairs": _sql_pairs(),
+        "token_estimate": on_bodies("tokens", "ceil(length(t) / 4.0)::BIGINT"),
+    }
