@@ -1,33 +1,13 @@
-"""Tables on the way: reading, the shared scratch folder and id handling."""
+"""Reading tables; the shared scratch folder is that of the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.store import scratch_dir, stored
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["read", "scratch_dir", "stored"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` that all executors share; a temporary one only where it is unset
-    and Spark runs in one process."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        got = "file://" + tempfile.mkdtemp(prefix="briefloom-")
-        spark.sparkContext.setCheckpointDir(got)
-    return got.rstrip("/")
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared scratch folder and read again: computed once, its lineage cut, and kept when
-    executors are lost."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/briefloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import stored
-from ._graph import components
+from ..operators.graph import components
 from ._hashing import mix
 
 #: Independent trees.
