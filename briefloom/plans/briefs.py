@@ -52,7 +52,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
                 break
         else:
             slots.append([n, text, form])
-    return pd.DataFrame({"g": pdf["g"].iloc[0], "n": [s[0] for s in slots], "text": [s[1] for s in slots]})
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(slots), "n": [s[0] for s in slots], "text": [s[1] for s in slots]})
 
 
 def unique_texts(items: DataFrame) -> DataFrame:
