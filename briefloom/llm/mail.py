@@ -27,8 +27,8 @@ from .pii import readable
 
 #: Least words in a run that counts as inherited.
 LEAST_WORDS = 14
-#: Characters of a window, between starts that lie WINDOW at most apart.
-WINDOW = 48
+#: Characters of a window, and most characters between two starts.
+WINDOW, APART = 48, 64
 #: Mails of a sender that must end with a line for it to recur, and lines at the end that are looked at.
 RECURS, ENDING = 3, 8
 #: A mail of which more than this part stands in one other message is a copy of it, not an answer.
@@ -136,24 +136,24 @@ def _lines(body: str) -> list[str]:
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(grp, at, id, mail, text) to (h, at, id, mail): hashed windows of the words at starts that the text decides."""
+    """(grp, id, mail, text) to (h, id, mail): hashed windows of the words at starts that the text decides."""
     for pdf in batches:
         texts = [codepoints(f"{_norm(x)}") for x in pdf["text"]]
         groups = pdf["grp"].to_numpy().view(np.uint64)
         for a, b in chunks([len(x) for x in texts], 1_000_000):
             rows, hashes = [], []
             for k in range(a, b):
-                if len(texts[k]) < 2 * WINDOW:
+                if len(texts[k]) < WINDOW + APART:
                     continue
                 whole = Prefix(texts[k])
-                cuts = minimisers(whole.every(8), WINDOW)
+                cuts = minimisers(whole.every(8), APART)
                 cuts = cuts[cuts + WINDOW <= whole.n]
                 h = np.unique(whole.at(cuts, WINDOW) ^ groups[k]).view(np.int64)
                 rows.append(np.full(len(h), k))
                 hashes.append(h)
             if rows:
                 row = np.concatenate(rows)
-                yield pd.DataFrame({"h": np.concatenate(hashes), "at": pdf["at"].to_numpy()[row], "id": pdf["id"].to_numpy()[row], "mail": pdf["mail"].to_numpy()[row]})
+                yield pd.DataFrame({"h": np.concatenate(hashes), "id": pdf["id"].to_numpy()[row], "mail": pdf["mail"].to_numpy()[row]})
 
 
 def classify(body: str, author: str | None, sources: list[str] | None = None, recurring: set[str] | None = None) -> list[bool]:
@@ -306,31 +306,38 @@ def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "author", "line"])
 
 
-def newly_written(df: DataFrame, is_mail: str = "channel = 'email'") -> DataFrame:
-    """Lines and text that mails did not or did newly hold: ``id, old_lines array<int>, new_text``, a row for each distinct
-    mail of ``df`` (``comment_id, ticket_key, author, body`` and what ``is_mail`` reads), old lines counted from 1.
-
-    Null bodies give no row, empty ones an empty array; a null thread has nothing to inherit from; repeated deliveries
-    count once, and the id orders the messages of a thread.  Other columns are ignored, whatever their names.
-    """
+def _judged(df: DataFrame, is_mail: str) -> DataFrame:
     rows = df.filter("comment_id is not null and body is not null").select(F.col("comment_id").alias("id"), "ticket_key", F.trim("author").alias("author"), "body", F.coalesce(F.expr(is_mail), F.lit(False)).alias("mail"))
-    rows = rows.groupBy("id", "ticket_key", "author", "body").agg(F.max("mail").alias("mail"))
     mails = rows.filter("mail").drop("mail")
     # Windows in common within a thread: the first message that holds each, for every mail that has it too.
-    texts = rows.filter("ticket_key is not null").select(F.xxhash64("ticket_key").alias("grp"), F.col("id").alias("at"), "id", "mail", F.col("body").alias("text"))
-    windows = stored(texts.mapInPandas(_windows, "h long, at long, id long, mail boolean"))
+    texts = rows.filter("ticket_key is not null").select(F.xxhash64("ticket_key").alias("grp"), "id", "mail", F.col("body").alias("text"))
+    windows = stored(texts.mapInPandas(_windows, "h long, id long, mail boolean"))
     first = windows.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.max("mail").alias("m")).filter("source <> last and m").select("h", "source")
     pairs = stored(windows.filter("mail").select("h", "id").join(first, "h").filter("source < id").select("id", "source").distinct())
-    held = rows.select(F.col("id").alias("source"), F.col("author").alias("by"), F.col("body").alias("text"))
-    inherited = pairs.join(held, "source").join(mails.select("id", F.col("author").alias("me")), "id").filter("by is null or me is null or by <> me").groupBy("id").agg(F.collect_set("text").alias("sources"))
+    # Only texts that a pair names are moved.
+    sources = stored(pairs.select("source").distinct())
+    held = rows.select(F.col("id").alias("source"), F.col("author").alias("by"), F.col("body").alias("text")).join(sources, "source", "left_semi")
+    heirs = stored(pairs.select("id").distinct())
+    me = mails.select("id", F.col("author").alias("me")).join(heirs, "id", "left_semi")
+    inherited = pairs.join(held, "source").join(me, "id").filter("by is null or me is null or by <> me").groupBy("id").agg(F.collect_set("text").alias("sources"))
     # Lines that end several mails of a sender; of each mail only its own come back.
-    ends = stored(mails.filter("author <> ''").mapInPandas(_endings, "id long, author string, line string"))
-    often = ends.groupBy("author", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURS).select("author", "line")
-    recurring = ends.join(often, ["author", "line"], "left_semi").groupBy("id").agg(F.collect_set("line").alias("recurring"))
+    ends = stored(mails.filter("author <> ''").mapInPandas(_endings, "id long, author string, line string").withColumn("key", F.xxhash64("author", "line")).select("id", "key", "line"))
+    often = ends.select("id", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURS).select("key")
+    recurring = ends.join(stored(often), "key", "left_semi").groupBy("id").agg(F.collect_set("line").alias("recurring"))
     ready = mails.join(inherited, "id", "left").join(recurring, "id", "left").select("id", "body", "author", "sources", "recurring")
     return ready.mapInPandas(_found, "id long, old_lines array<int>, new_text string")
 
 
+def newly_written(df: DataFrame, is_mail: str = "channel = 'email'") -> DataFrame:
+    """Lines and text that mails did not or did newly hold: ``id, old_lines array<int>, new_text``, a row for each distinct
+    mail of ``df`` (``comment_id, ticket_key, author, body`` and what ``is_mail`` reads), old lines counted from 1.
+
+    Null bodies give no row, empty ones an empty array; a null thread has nothing to inherit from; repeated deliveries
+    count once, and the id orders the messages of a thread.  Other columns are ignored, whatever their names.
+    """
+    return _judged(df, is_mail).distinct()
+
+
 def old_lines(df: DataFrame, is_mail: str = "channel = 'email'") -> DataFrame:
     """``comment_id, line_no`` of each non-blank line that its sender did not newly write, distinct."""
-    return newly_written(df, is_mail).select(F.col("id").alias("comment_id"), F.explode("old_lines").alias("line_no")).distinct()
+    return _judged(df, is_mail).select(F.col("id").alias("comment_id"), F.explode("old_lines").alias("line_no")).distinct()
