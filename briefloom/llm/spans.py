@@ -106,7 +106,9 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = stored(full.withColumn("open", ~(F.col("hit") & F.coalesce(F.col("pos") - last <= span, F.lit(False)))))
     # The same token starts of the other records are needed too, as that is where an open one's windows have their partners.
     gaps = full.join(full.filter("open").select("q").distinct(), "q", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("cuts"))
-    places = stored(docs.join(gaps, "doc_id").mapInPandas(_places(span), "doc_id long, pos int, s long"))
+    # Only the texts that hold such a place are moved: their ids are a table of their own, broadcast while it is small.
+    ids = stored(full.select("doc_id").distinct())
+    places = stored(docs.join(ids, "doc_id", "left_semi").join(gaps, "doc_id").mapInPandas(_places(span), "doc_id long, pos int, s long"))
     found = places.join(_repeated(places, "s"), "s", "left_semi")
 
     starts = found.select("doc_id", "pos").union(full.filter("hit").select("doc_id", "pos")).distinct()
