@@ -159,14 +159,15 @@ def set_pairs(sets: DataFrame, threshold: float, trees: int = TREES) -> DataFram
         rows = _branch(rows, threshold)
     found = []
     for depth in range(start, DEPTH + 1):
-        # Each level is computed anew from the sets, without an exchange: only the nodes that branch on are kept, of
+        # Each level is computed from the sets again, without an exchange: only the nodes that branch on are kept, of
         # which there is one at most for NODE rows; Spark broadcasts them below its threshold and joins by sort above.
-        large = stored(rows.groupBy("node").count().filter(F.col("count") > NODE))
-        found.append(stored(_in_nodes(rows.select(*light).join(large, "node", "left_anti").withColumn("side", F.lit(0)), threshold)))
+        level = stored(rows.select(*light))
+        large = stored(level.groupBy("node").count().filter(F.col("count") > NODE))
+        found.append(stored(_in_nodes(level.join(large, "node", "left_anti").withColumn("side", F.lit(0)), threshold)))
         if large.isEmpty():
             break
         if depth == DEPTH:
-            found.append(stored(_in_blocks(rows.select(*light).join(large, "node"), threshold)))
+            found.append(stored(_in_blocks(level.join(large, "node"), threshold)))
         else:
             rows = _branch(rows.join(large, "node", "left_semi"), threshold)
     out = found[0]
