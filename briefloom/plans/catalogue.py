@@ -235,11 +235,24 @@ def _sql_pairs() -> str:
            OR (x.form <> '' AND y.form <> '' AND len(list_intersect(x.w, y.w)) >= 0.75::DOUBLE * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))))"""
 
 
+_SQL_VAL = r"nullif(regexp_replace({}, '^[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g'), '')"
+_SQL_CHILDREN = rf"""WITH r AS (SELECT raw_id, payload::JSON AS j FROM (SELECT DISTINCT raw_id, payload FROM raw_tickets WHERE payload IS NOT NULL AND json_valid(payload))),
+    t AS (SELECT raw_id, unnest(CASE WHEN json_type(j, '$.issues') = 'ARRAY' THEN json_extract(j, '$.issues[*]') ELSE [j] END) AS t FROM r),
+    k AS (SELECT raw_id, json_extract_string(t, '$.key') AS ticket_key, t, CASE WHEN json_type(t, '$.fields.comment.comments') = 'ARRAY' THEN json_extract(t, '$.fields.comment.comments[*]') ELSE json_extract(t, '$.comment.comments[*]') END AS c,
+        json_extract(t, '$.fields.labels[*]') AS l, json_extract(t, '$.fields.issuelinks[*]') AS i FROM t),
+    e AS (SELECT raw_id, ticket_key, 'assignee' AS entity, 0 AS pos, {_SQL_VAL.format("json_extract_string(t, '$.fields.assignee.displayName')")} AS val FROM k
+        UNION ALL SELECT raw_id, ticket_key, 'label', pos, CASE WHEN json_type(x) = 'OBJECT' THEN {_SQL_VAL.format("json_extract_string(x, '$.name')")} ELSE {_SQL_VAL.format("json_extract_string(x, '$')")} END FROM (SELECT raw_id, ticket_key, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM k)
+        UNION ALL SELECT raw_id, ticket_key, 'link', pos, coalesce({_SQL_VAL.format("json_extract_string(x, '$.outwardIssue.key')")}, {_SQL_VAL.format("json_extract_string(x, '$.inwardIssue.key')")}) FROM (SELECT raw_id, ticket_key, unnest(i) AS x, generate_subscripts(i, 1) - 1 AS pos FROM k)
+        UNION ALL SELECT raw_id, ticket_key, 'comment', pos, CASE WHEN json_type(x) = 'OBJECT' THEN coalesce({_SQL_VAL.format("json_extract_string(x, '$.author.displayName')")}, {_SQL_VAL.format("json_extract_string(x, '$.author.name')")}, '') END FROM (SELECT raw_id, ticket_key, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM k))
+    SELECT DISTINCT raw_id, ticket_key, entity, pos::INT AS pos, val FROM e WHERE val IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     on_bodies = lambda name, sql: f"SELECT comment_id, {sql} AS {name} FROM ({_BODIES})"
     on_descriptions = lambda name, sql: f"SELECT ticket_id, {sql} AS {name} FROM ({_DESCRIPTIONS})"
     keys = r"'\b[A-Z][A-Z0-9]{1,9}-\d+\b-?'"
     return {
+        "p1_found": _SQL_CHILDREN,
         "normal_spaces": on_bodies("text", _sql_spaces("t")),
         "html_hint": on_descriptions("is_html", r"regexp_matches(t, '(?i)<\s*(?:p|div|br|span|table|ul|ol|li|b|i|strong|em|h1|h2|h3|h4|h5|h6|a)\b')"),
         "html_to_text": on_descriptions("text", _sql_html("t")),
