@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leak, mail, neardup, normalize, packing, pii, spans
+from . import leak, mail, neardup, normalize, packing, pii, spans, sql
 from ._common import read
 
 
@@ -54,4 +54,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
