@@ -10,6 +10,7 @@ No group is ever brought together in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ def _least_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for g, n, form in zip(pdf["g"], pdf["n"], pdf["form"]):
             grams = [form[k : k + _GRAM] for k in range(len(form) - _GRAM + 1)]
-            keys = [(hash_of(x), x) for x in grams]
+            keys = [(crc32(x.encode()), x) for x in grams]  # the same on every machine and run
             lead = min(keys[:_SPAN])
             chosen, at = {lead[1]}, keys.index(lead)
             for k in range(1, len(keys) - _SPAN + 1):  # slide: look again only when the least one leaves
@@ -42,14 +43,6 @@ def _least_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["g", "n", "gram", "first"])
 
 
-def hash_of(gram: str) -> int:
-    """The same on every machine and run."""
-    h = 0
-    for ch in gram:
-        h = (h * 1_000_003 ^ ord(ch)) & 0xFFFFFFFF
-    return (h * 2_654_435_761) & 0xFFFFFFFF
-
-
 def near_edges(items: DataFrame) -> DataFrame:
     """``g, a, b`` (a < b) of near-duplicates among ``items`` (``g`` group, ``n`` unique order in it, ``form``
     distinct normal forms in it)."""
