@@ -7,8 +7,11 @@ similarity.  A node with ``NODE`` sets or fewer is compared exhaustively by one-
 branches again.  Nodes that stay large to the end hold sets that agree nearly everywhere; they are compared block
 by block, nothing is dropped.  What the sketches leave is verified on the words themselves.
 
-A pair at the threshold survives a tree with a probability of about 0.5 (a critical branching process), so that
-``TREES`` trees miss a few in a thousand of these; more similar pairs are missed far less.
+Of a pair at the threshold the copies in a tree are a critical branching process: it survives d levels with a
+probability of roughly 5 / d, so the trees that are needed grow with the depth.  Each tree has minwise functions of its
+own, so that misses are independent between trees.  ``TREES`` or more are grown to the first depth, enough for a share
+of ``MISSED``; what they miss with more levels has both its sets in a large node there, and only sets of these descend
+further trees, until there are enough for the depth that is reached.  More similar pairs are missed far less.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ from ._common import stored
 from ..operators.graph import components
 from ._hashing import mix
 
-#: Independent trees.
-TREES = 8
+#: Least number of independent trees, and the share of the pairs at the threshold that all trees together may miss.
+TREES, MISSED = 12, 0.001
 #: Sets that a node may hold to be compared exhaustively.
 NODE = 1024
 #: Levels after which a node that is still large is compared in blocks.
 DEPTH = 12
-#: Minwise tokens of a set: the first PATH choose the paths, all give a bit of the sketch.
-MINWISE, PATH = 128, 48
+#: Minwise tokens that give a bit of the sketch, and those that choose the paths of a tree, of which a byte is kept.
+MINWISE, PATH = 128, 16
 #: Standard deviations that a pair's sketch may fall short of the threshold.
 SLACK = 4.0
 
@@ -41,8 +44,8 @@ SLACK = 4.0
 _BETWEEN = "\u0001"
 
 _rng = np.random.default_rng(20240607)
-_MUL = _rng.integers(0, 2**63, MINWISE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, MINWISE, dtype=np.int64).astype(np.uint64)
+_SEEDS = _rng.integers(0, 2**63, (1 << 14, 2), dtype=np.int64).astype(np.uint64)
+_MUL, _ADD = _SEEDS[:, 0] * np.uint64(2) + np.uint64(1), _SEEDS[:, 1]
 
 
 def _runs(text: Column) -> Column:
@@ -61,25 +64,40 @@ def shingles(text: Column, width: int = 5) -> Column:
     return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hashes) to (key, n, s0, s1, path): the set's size, its 128-bit sketch and its first minwise tokens."""
-    for batch in batches:
-        lists = batch.column("hashes")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        if not len(sizes):
-            continue
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        least = np.empty((len(sizes), MINWISE), np.uint32)
-        with np.errstate(over="ignore"):
-            for k in range(MINWISE):
-                least[:, k] = np.minimum.reduceat(((flat * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), starts)
-            bits = np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), axis=1).view(np.int64)
-        path = np.ascontiguousarray(least[:, :PATH]).view(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(sizes.astype(np.int32)), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * PATH + 1, PATH, dtype=np.int32)), pa.array(path.ravel()))],
-            names=["key", "n", "s0", "s1", "path"],
-        )
+def _needed(threshold: float, depth: int) -> int:
+    """Trees of which a pair at the threshold leaves every one within ``depth`` levels with a probability of MISSED at most."""
+    least, more = int(1 / threshold), 1 / threshold - int(1 / threshold)
+    lost = 0.0
+    for _ in range(depth):
+        one = 1 - threshold + threshold * lost  # a child is not reached, or is and is lost below
+        lost = (1 - more) * one**least + more * one ** (least + 1)
+    return max(TREES, math.ceil(math.log(MISSED) / math.log(lost))) if lost > 0 else TREES
+
+
+def _sketches(trees: int):
+    """(key, hashes) to (key, n, s0, s1, paths): the set's size, its 128-bit sketch and for each tree the bytes of its minwise tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(sizes):
+                continue
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            mixed = np.empty((len(sizes), max(MINWISE, trees * PATH)), np.uint8)
+            with np.errstate(over="ignore"):
+                for k in range(mixed.shape[1]):
+                    least = np.minimum.reduceat(((flat * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), starts)
+                    mixed[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            bits = np.packbits(mixed[:, :MINWISE] >> 7, axis=1).view(np.int64)
+            slots = pa.Array.from_buffers(pa.binary(PATH), len(sizes) * trees, [None, pa.py_buffer(np.ascontiguousarray(mixed[:, : trees * PATH]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(sizes.astype(np.int32)), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * trees + 1, trees, dtype=np.int32)), slots)],
+                names=["key", "n", "s0", "s1", "paths"],
+            )
+
+    return run
 
 
 def _close(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -140,7 +158,7 @@ def _branch(rows: DataFrame, threshold: float) -> DataFrame:
     children = []
     for k in range(least + (more > 0)):
         place = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(PATH)).cast("int")
-        child = F.xxhash64("node", place, F.get("path", place))
+        child = F.xxhash64("node", place, F.substring("path", place + 1, F.lit(1)))
         chosen = F.lit(True) if k < least else F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(1 << 20)) < int(more * (1 << 20))
         children.append(F.when(chosen, child))
     return rows.withColumn("node", F.explode(F.filter(F.array(*children), lambda x: x.isNotNull())))
@@ -149,20 +167,41 @@ def _branch(rows: DataFrame, threshold: float) -> DataFrame:
 def set_pairs(sets: DataFrame, threshold: float, trees: int = TREES) -> DataFrame:
     """Pairs ``a < b`` of keys whose sets may have a Jaccard similarity of ``threshold`` or more, distinct.
 
-    ``sets`` has ``key`` (long, unique), ``n, s0, s1, path`` of ``_sketches`` and is read several times.
+    ``sets`` has ``key`` (long, unique), ``n, s0, s1, paths`` of ``_sketches`` and is read several times; ``trees`` is
+    the least number of trees.
     """
     many = sets.count()
+    if many <= NODE:
+        return _in_nodes(sets.select(F.lit(1).alias("node"), "key", "n", "s0", "s1", F.lit(0).alias("side")), threshold).distinct()
+    start = max(0, min(DEPTH - 1, int(math.log(many / NODE, 6))))
+    done, need, found = 0, max(trees, _needed(threshold, start)), []
+    mine = sets
+    while done < need:
+        deepest, heavy = _descend(mine, range(done, need), start, threshold, found)
+        done, need = need, max(need, _needed(threshold, deepest))
+        if mine is sets and done < need:
+            mine = stored(sets.join(heavy, "key", "left_semi"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.distinct()
+
+
+def _descend(sets: DataFrame, trees: range, start: int, threshold: float, found: list[DataFrame]) -> tuple[int, DataFrame]:
+    """Appends the pairs that some trees find; the depth that they reach, and the keys in large nodes of the first level."""
     light = ["node", "key", "n", "s0", "s1"]
-    start = max(0, min(DEPTH - 1, int(math.log(max(many, 1) / NODE, 6)))) if many > NODE else 0
-    rows = sets.withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(trees if many > NODE else 1)))).withColumn("node", F.xxhash64("node"))
+    rows = sets.withColumn("tree", F.explode(F.sequence(F.lit(trees.start), F.lit(trees.stop - 1))))
+    rows = rows.select(F.xxhash64("tree").alias("node"), "key", "n", "s0", "s1", F.get("paths", F.col("tree")).alias("path"))
     for _ in range(start):
         rows = _branch(rows, threshold)
-    found = []
+    heavy = None
     for depth in range(start, DEPTH + 1):
         # Each level is computed from the sets again, without an exchange: only the nodes that branch on are kept, of
         # which there is one at most for NODE rows; Spark broadcasts them below its threshold and joins by sort above.
         level = stored(rows.select(*light))
         large = stored(level.groupBy("node").count().filter(F.col("count") > NODE))
+        if heavy is None:
+            heavy = level.join(large, "node", "left_semi").select("key").distinct()
         found.append(stored(_in_nodes(level.join(large, "node", "left_anti").withColumn("side", F.lit(0)), threshold)))
         if large.isEmpty():
             break
@@ -170,10 +209,7 @@ def set_pairs(sets: DataFrame, threshold: float, trees: int = TREES) -> DataFram
             found.append(stored(_in_blocks(level.join(large, "node"), threshold)))
         else:
             rows = _branch(rows.join(large, "node", "left_semi"), threshold)
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct()
+    return depth, heavy
 
 
 def _in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
@@ -203,8 +239,8 @@ def near_pairs(df: DataFrame, id_col: str, tokens: Column, threshold: float = 0.
     """
     base = stored(_prepared(df, id_col, tokens, least))
     hashed = base.select("key", F.transform(F.split("tokens", _BETWEEN), lambda w: F.xxhash64(w)).alias("hashes"))
-    sketched = hashed.mapInArrow(_sketches, "key long, n int, s0 long, s1 long, path array<int>")
-    sets = stored(sketched.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1", "path")]))
+    sketched = hashed.mapInArrow(_sketches(max(trees, _needed(threshold, DEPTH))), "key long, n int, s0 long, s1 long, paths array<binary>")
+    sets = stored(sketched.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1", "paths")]))
     may = stored(set_pairs(sets, threshold, trees))
     keys = may.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     held = stored(base.select("key", "tokens").join(keys, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens")))

@@ -40,6 +40,22 @@ def test_near_duplicates(spark, monkeypatch, node, depth):
         assert set(groups) == set(held) and groups[900]["group_id"] == 0 and groups[901]["n_copies"] == sum(x == held[0] for x in held.values())
 
 
+def test_near_duplicates_in_a_hot_family(spark, monkeypatch):
+    """Variants of one text, 0.75 to 0.8 alike, in nodes that stay large for many levels."""
+    monkeypatch.setattr(neardup, "NODE", 16)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(60)]
+    sets = [[w if rng.random() > 0.115 else f"v{k}x{j}" for j, w in enumerate(base)] for k in range(700)]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(sets)], "id long, body string")
+    bits = np.array([[w == x for w, x in zip(base, s)] for s in sets], np.int64)
+    common = bits @ bits.T
+    alike = common / (120 - common)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero((alike >= 0.75) & (alike <= 0.8))) if a < b}
+    got = {tuple(r) for r in neardup.near_duplicates(df, "id", neardup.words(F.col("body")), 0.75, 5).collect()}
+    assert len(want) > 10_000
+    assert len(want - got) <= 0.002 * len(want), f"{len(want - got)} of {len(want)} missed"
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id long, body string")
     assert neardup.near_duplicates(df, "id", neardup.shingles(F.col("body"))).count() == 0
