@@ -60,6 +60,11 @@ def _phone(sep: str) -> re.Pattern:
 
 #: Within one line; and over a line break, for a number that would be too short without.
 _PHONE, _WRAPPED_PHONE, _FULL_PHONE = _phone(_BLANK_SEP), _phone(_SEP), 10
+#: A shorter number within one line: with a country code, a bracketed or slashed area code, 9 digits in groups, or after such a word.
+_CLEAR_PHONE = re.compile(r"\+|\(0|0\d+ ?/|(?=(?:\D*\d){9})0\d+[ .\-(]")
+_PHONE_WORD = re.compile(r"(?:phone|tel|fon|telefon|téléphone|teléfono|mobile?|handy|fax|cell|call)[.:]* ?$", re.I)
+#: How an IBAN begins.
+_IBAN_CUE = re.compile(r"(?<!\w)[A-Z]{2}\d{2}")
 _KINDS_EN = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Boulevard|Blvd\.?|Way|Place|Pl\.?|Square|Sq\.?|Terrace|Close|Crescent|Highway|Hwy\.?|Parkway|Row)"
 _KINDS_FR = r"(?:rue|avenue|av\.|boulevard|bd\.?|place|chemin|impasse|allée|quai|route|cours|square|passage)"
 _KINDS_ES = r"(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Carretera|Ronda|Travesía)"
@@ -280,21 +285,30 @@ class Detector:
         clusters = [(max(0, m.start() - 5), m.end() + 6) for m in _CLUSTER.finditer(t)]
         kinds = [x for x in _ADDRESSES if any(k in t for k in x[1])]
         low = t.lower()
-        if not clusters and not kinds and "pas" not in low and "pass" not in low:
+        iban = _IBAN_CUE.search(t)
+        if not clusters and not kinds and not iban and "pas" not in low and "pass" not in low:
             return out
         near = lambda pattern: [m for a, b in clusters for m in pattern.finditer(t, a, min(b, len(t)))]
         blocked = [(a, b) for _, a, b in out]
         free = lambda a, b: not any(a < y and x < b for x, y in blocked)
-        for m in near(_IBAN):
-            blocked.append(m.span())
+        m = _IBAN.search(t, iban.start()) if iban else None
+        while m:
             chars, places = [], []
             for k in range(m.start(), m.end()):
                 if t[k].isalnum():
                     chars.append(t[k])
                     places.append(k)
             n = IBAN_LENGTHS.get("".join(chars[:2]), len(chars))
+            after = places[3] + 1  # one that is none may hold the start of another
             if n <= len(chars) and _iban("".join(chars[:n])):
-                out.append(("id", m.start(), places[n - 1] + 1))
+                after = places[n - 1] + 1
+                out.append(("id", m.start(), after))
+                blocked.append((m.start(), after))
+            elif "".join(chars[2:]).isdigit():
+                blocked.append(m.span())
+            elif n <= len(chars) and "".join(chars[:2]) in IBAN_LENGTHS:
+                blocked.append((m.start(), places[n - 1] + 1))
+            m = _IBAN.search(t, after)
         for m in near(_CARD):
             if not free(*m.span()):
                 continue
@@ -319,6 +333,10 @@ class Detector:
         taken = [m.span() for m in phones]
         if "\n" in t and clusters:
             phones += [m for m in near(_WRAPPED_PHONE) if "\n" in m.group() and not any(a < m.end() and m.start() < b for a, b in taken)]
+        taken = [m.span() for m in phones if free(*m.span()) and 8 <= digits(m) <= 16]
+        for m in near(_PHONE):
+            if 8 <= digits(m) < _FULL_PHONE and (_CLEAR_PHONE.match(m.group()) or _PHONE_WORD.search(t, max(0, m.start() - 12), m.start())) and not any(a < m.end() and m.start() < b for a, b in taken):
+                phones.append(m)
         for m in phones:
             if free(*m.span()) and 8 <= digits(m) <= 16:
                 out.append(("phone", m.start(), m.end()))

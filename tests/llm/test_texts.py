@@ -61,6 +61,23 @@ def test_mentions(text, want):
     assert [(k, text[a:b]) for k, a, b in DETECTOR.spans(text)] == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("pay GB82 WEST 1234 5698 7654 32 now", [("id", "GB82 WEST 1234 5698 7654 32")]),
+    ("NL91ABNA0417164300 and NL91 ABNA 0417 1643 00", [("id", "NL91ABNA0417164300"), ("id", "NL91 ABNA 0417 1643 00")]),
+    ("IT60 X054 2811 1010 0000 0123 456.", [("id", "IT60 X054 2811 1010 0000 0123 456")]),
+    ("FR14 2004 1010 0505 0001 3M02 606", [("id", "FR14 2004 1010 0505 0001 3M02 606")]),
+    ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", [("id", "MT84 MALT 0110 0001 2345 MTLC AST0 01S")]),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", [("id", "DE89 3704 0044 0532 0130 00"), ("id", "GB82 WEST 1234 5698 7654 32")]),
+    ("not GB83 WEST 1234 5698 7654 32", []),
+    ("US12 ABCD 4000 0000 0000 0002", [("id", "4000 0000 0000 0002")]),
+    ("ring +352 27 12 34 or (030) 123456 or 030 123456, tel: 0221 1234", [("phone", "+352 27 12 34"), ("phone", "(030) 123456"), ("phone", "030 123456"), ("phone", "0221 1234")]),
+    ("open 0930-1045, build 0012 3456, order 00123456", []),
+    ("> call +49 30 1234\n> 5678 now", [("phone", "+49 30 1234\n> 5678")]),
+])
+def test_ibans_with_letters_and_short_phones(text, want):
+    assert [(k, text[a:b]) for k, a, b in DETECTOR.spans(text)] == want
+
+
 def test_mentions_in_tables(spark):
     people = spark.createDataFrame([("Anna Weber",), ("Ruiz, Anna",), (None,), ("build bot",), ("José Ruiz",), ("José Weber",)], "author string")
     names = pii.name_gazetteer(people, "author")
