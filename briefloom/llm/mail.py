@@ -27,8 +27,9 @@ from .pii import readable
 
 #: Least words in a run that counts as inherited.
 LEAST_WORDS = 14
-#: Characters of a window, and most characters between two starts.
-WINDOW, APART = 48, 64
+#: Words of a window, and consecutive starts of which one is taken: together no more than LEAST_WORDS + 1, so that every run
+#: of LEAST_WORDS words holds a window whatever its length in characters.
+WINDOW, APART = 7, 8
 #: Mails of a sender that must end with a line for it to recur, and lines at the end that are looked at.
 RECURS, ENDING = 3, 8
 #: A mail of which more than this part stands in one other message is a copy of it, not an answer.
@@ -143,12 +144,13 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in chunks([len(x) for x in texts], 1_000_000):
             rows, hashes = [], []
             for k in range(a, b):
-                if len(texts[k]) < WINDOW + APART:
+                blanks = np.flatnonzero(texts[k] == 32)
+                if len(blanks) + 1 < LEAST_WORDS:
                     continue
                 whole = Prefix(texts[k])
-                cuts = minimisers(whole.every(8), APART)
-                cuts = cuts[cuts + WINDOW <= whole.n]
-                h = np.unique(whole.at(cuts, WINDOW) ^ groups[k]).view(np.int64)
+                starts, ends = np.r_[0, blanks + 1], np.r_[blanks, whole.n]
+                every = whole.at(starts[: len(starts) - WINDOW + 1], ends[WINDOW - 1 :] - starts[: len(starts) - WINDOW + 1])
+                h = np.unique(every[minimisers(every, APART)] ^ groups[k]).view(np.int64)
                 rows.append(np.full(len(h), k))
                 hashes.append(h)
             if rows:

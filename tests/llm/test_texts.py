@@ -154,6 +154,20 @@ def test_mail_threads(spark):
     assert mail.old_lines(df.limit(0)).count() == 0
 
 
+def test_short_inherited_runs(spark):
+    """Runs of 14 words, of short words or in short mails."""
+    rng = random.Random(8)
+    rows, want = [], set()
+    for k in range(200):
+        run = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 3, 4, 5]))) for _ in range(14))
+        pad = " ".join(f"p{rng.randrange(10**6)}" for _ in range(rng.choice([0, 40])))
+        own = "\n".join(f"own{rng.randrange(10**6)} word{rng.randrange(10**6)} of mine" for _ in range(8))
+        rows += [(2 * k, f"t{k % 9}", "Bo", f"{pad} {run} {pad}", "web"), (2 * k + 1, f"t{k % 9}", "Anna", f"{own}\n{run}", "email")]
+        want.add((2 * k + 1, 9))
+    df = spark.createDataFrame(rows, "comment_id long, ticket_key string, author string, body string, channel string")
+    assert {tuple(r) for r in mail.old_lines(df).collect()} == want
+
+
 def test_leaks(spark):
     rng = random.Random(3)
     words = lambda n: [f"{rng.choice('abcdefg')}{rng.randrange(400)}" for _ in range(n)]
