@@ -32,8 +32,6 @@ LEAST_WORDS = 14
 WINDOW, APART = 7, 8
 #: Mails of a sender that must end with a line for it to recur, and lines at the end that are looked at.
 RECURS, ENDING = 3, 8
-#: A mail of which more than this part stands in one other message is a copy of it, not an answer.
-COPY = 0.7
 
 _WORDS = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"\s*[>|]")
@@ -250,11 +248,14 @@ def classify(body: str, author: str | None, sources: list[str] | None = None, re
             owner += [k] * len(w)
         fresh = [k for k, o in enumerate(owner) if not old[o]]
         machine = SuffixAutomaton()
-        for text in sources:
-            machine.add(_WORDS.findall(text.lower()))
+        held = [_WORDS.findall(text.lower()) for text in sources]
+        for x in held:
+            machine.add(x)
         own = [words[k] for k in fresh]
         hit = machine.inherited(own, LEAST_WORDS)
-        if len(own) and hit.mean() <= COPY:
+        # A mail that one message holds whole is a copy of it, not an answer.
+        whole = f" {' '.join(own)} "
+        if not (hit.all() and any(whole in f" {' '.join(x)} " for x in held)):
             by_line: dict[int, list[bool]] = {}
             for k, x in zip(fresh, hit):
                 by_line.setdefault(owner[k], []).append(bool(x))

@@ -154,6 +154,15 @@ def test_mail_threads(spark):
     assert mail.old_lines(df.limit(0)).count() == 0
 
 
+def test_short_answers_to_long_quotations():
+    one, two = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    old = lambda body, *sources: mail.classify(body, "Anna", list(sources))
+    assert old(f"Thanks, agreed.\n{one}", one, two) == [False, True]
+    assert old(f"{one}\n{two}\nThanks, agreed.", one, two) == [True, True, False]
+    assert old(f"{one}\n{two}", one, two) == [True, True]
+    assert old(one, f"before {one} after", two) == [False]
+
+
 def test_short_inherited_runs(spark):
     """Runs of 14 words, of short words or in short mails."""
     rng = random.Random(8)
