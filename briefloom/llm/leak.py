@@ -115,6 +115,66 @@ def banded_alignment(a: str, b: str, band: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
+def _back(eq: np.ndarray) -> np.ndarray:
+    """For each number of leading places the length of the run of true ones that ends there."""
+    n = np.arange(len(eq) + 1)
+    return n - np.maximum.accumulate(np.r_[0, np.where(eq, 0, n[1:])])
+
+
+def stretches(a: str, b: str, band: int, shortest: int, most: int) -> list[tuple[int, int]]:
+    """Parts of ``a`` of which every place lies in a stretch of ``shortest`` characters or more that matches ``b``, within
+    ``band`` of the main diagonal, with ``most`` edits or fewer.
+
+    From each end the matches are followed back as far as they go, then one edit is spent, and so on.
+    """
+    x, y = np.frombuffer(a.encode("ascii"), np.uint8), np.frombuffer(b.encode("ascii"), np.uint8)
+    n, width = len(x), 2 * band + 1
+    i = np.arange(n + 1)
+    runs = []
+    for d in range(-band, band + 1):
+        j = np.arange(n) + d
+        runs.append(_back((j >= 0) & (j < len(y)) & (x == y[np.clip(j, 0, len(y) - 1)])))
+    runs = np.array(runs)
+    reach = runs
+    for _ in range(most):
+        new = np.empty_like(reach)
+        for d in range(width):
+            at = i - runs[d]  # where the matches begin
+            prior, skip = np.maximum(at - 1, 0), (at > 0).astype(np.int64)
+            best = reach[d][prior] * skip + skip  # a character changed
+            if d + 1 < width:
+                best = np.maximum(best, reach[d + 1][prior] * skip + skip)  # one of a left out
+            if d:
+                best = np.maximum(best, reach[d - 1][at])  # one of b left out
+            new[d] = runs[d] + best
+        reach = new
+    longest = reach.max(axis=0)
+    out: list[tuple[int, int]] = []
+    for end in np.flatnonzero(longest >= shortest):
+        start = int(end - longest[end])
+        while out and out[-1][1] >= start:
+            start = min(start, out.pop()[0])
+        out.append((start, int(end)))
+    return out
+
+
+def least_edits(a: str, b: str, band: int) -> int:
+    """The fewest edits of ``a`` against a part of ``b`` within ``band`` of the main diagonal."""
+    old = [0] * (2 * band + 1)
+    for i in range(1, len(a) + 1):
+        new: list[int] = []
+        for d in range(2 * band + 1):
+            j = i + d - band
+            got = [old[d] + (not 1 <= j <= len(b) or a[i - 1] != b[j - 1])]
+            if d < 2 * band:
+                got.append(old[d + 1] + 1)
+            if d:
+                got.append(new[d - 1] + 1)
+            new.append(min(got))
+        old = new
+    return min(old)
+
+
 def _bands(items: Items):
     """(doc_id, text) to (doc_id, item_id, start_word, run_words, matched_chars, edits): verified regions."""
     e, shortest = items.edits, items.shortest
@@ -134,8 +194,8 @@ def _bands(items: Items):
                 out.add((int(d[start[k]]), int(i[start[k]]), int(b[start[k]]) * max(width, 1) - shift - (1 << 40)))
         return out
 
-    def verify(doc_stream: str, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """Start word, longest run of equal words, matched characters and edits around one diagonal."""
+    def verify(doc_stream: str, item: int, diagonal: int) -> list[tuple[int, int, int, int]]:
+        """Start word, longest run of equal words, matched characters and edits of the passages around one diagonal."""
         own = items.streams[item]
         lo, hi = max(0, diagonal - e), min(len(doc_stream), diagonal + width + len(own) + e)
         there = doc_stream[lo:hi]
@@ -144,11 +204,15 @@ def _bands(items: Items):
         words = there[cut_a:].split(" ") if hi == len(doc_stream) else there[cut_a:].split(" ")[:-1]
         run = _longest_run(items.words[item], [w for w in words if w])
         if e == 0:
-            return (doc_stream.count(" ", 0, lo), run, len(own), 0) if run >= items.least else None
-        matched, edits = banded_alignment(own, doc_stream[max(0, diagonal) : hi], width)
-        if run < items.least and (matched < shortest or edits > e * max(1, matched // max(shortest, 1))):
-            return None
-        return doc_stream.count(" ", 0, lo), run, matched, edits
+            return [(doc_stream.count(" ", 0, lo), run, len(own), 0)] if run >= items.least else []
+        own, near = own[max(0, -diagonal) :], doc_stream[max(0, diagonal) : hi]  # an item may begin before the document
+        out = []
+        for x, y in stretches(own, near, width, shortest, e):
+            edits = least_edits(own[x:y], near[max(0, x - width) : y + width], width + min(x, width))
+            out.append((doc_stream.count(" ", 0, max(0, diagonal) + x), run, y - x, edits))
+        if not out and run >= items.least:
+            out.append((doc_stream.count(" ", 0, lo), run, *banded_alignment(own, near, width)))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -165,9 +229,7 @@ def _bands(items: Items):
                 doc, place, item, at = doc[inside], place[inside], item[inside], at[inside]
                 starts = np.concatenate([[0], ends[:-1]])
                 for d, i, diagonal in regions(doc, place - starts[doc], item, at):
-                    got = verify(part[d], i, diagonal)
-                    if got:
-                        rows.append((int(ids[a + d]), items.ids[i], *got))
+                    rows += [(int(ids[a + d]), items.ids[i], *got) for got in verify(part[d], i, diagonal)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "run_words", "matched_chars", "edits"])
 
     return run

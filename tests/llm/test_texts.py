@@ -206,3 +206,17 @@ def test_leaks_with_edits_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(leak, "BLOCK", 10)
     assert {(r["doc_id"], r["item_id"]) for r in leak.leaked_passages(d, i, least_words=15, max_edits=1).collect()} == {(1, 1)}
     assert leak.banded_alignment("abcdefgh", "abcdxefgh", 2)[0] == 8
+
+
+def test_leaks_at_the_start_and_in_parts(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"{rng.choice('abcdefg')}{rng.randrange(1000)}" for _ in range(n)]
+    head, body, left, middle, right = words(30), words(24), words(19), words(4), words(19)
+    late = " ".join(body[:12] + ["x" + body[12]] + body[13:])
+    parts = " ".join(left + words(4) + right)
+    d = spark.createDataFrame([(1, late), (2, f"noise {parts} noise")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(head + body)), (2, " ".join(left + middle + right))], "item_id long, text string")
+    got = leak.leaked_passages(d, i, least_words=20, max_edits=1).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2)}
+    assert len({r["start_word"] for r in got if r["doc_id"] == 2}) >= 2
+    assert leak.stretches("abcdefghij", "abcdxefghij", 2, 8, 1) == [(0, 10)] and leak.least_edits("abcdefghij", "abcdxefghij", 2) == 1
