@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 
@@ -80,3 +81,52 @@ def minimisers(values: np.ndarray, span: int) -> np.ndarray:
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
     return np.unique((np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64))
+
+
+@cache
+def letters_and_digits() -> np.ndarray:
+    """For each code point whether it is a letter or a digit of any script."""
+    return np.fromiter((chr(n).isalnum() for n in range(0x110000)), bool, 0x110000)
+
+
+@cache
+def latin_and_digits() -> np.ndarray:
+    """For each code point whether it is one of a-z and 0-9."""
+    out = np.zeros(0x110000, bool)
+    out[[ord(x) for x in "abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+    return out
+
+
+def word_hashes(texts: Sequence[str], inside: np.ndarray, deleted: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after another, and the number of words of each.
+
+    Words are maximal runs of the code points that ``inside`` marks, after lower-casing and leaving out the deleted ones.
+    """
+    low = [x.lower() for x in texts]
+    symbols = codepoints("".join(low))
+    ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))
+    if deleted:
+        keep = np.ones(len(symbols), bool)
+        for x in deleted:
+            keep &= symbols != x
+        ends = np.r_[0, np.cumsum(keep)][ends]
+        symbols = symbols[keep]
+    hit = inside[symbols]
+    first, last = hit.copy(), hit.copy()
+    edges = ends[(ends > 0) & (ends < len(hit))]
+    first[1:] &= ~hit[:-1]
+    first[edges] = hit[edges]
+    last[:-1] &= ~hit[1:]
+    last[edges - 1] = hit[edges - 1]
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.r_[0, np.searchsorted(starts, ends)])
+    return Prefix(symbols).at(starts, np.flatnonzero(last) + 1 - starts), counts
+
+
+def runs_of(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` words within a text, the text of each and its first word's place among all words."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    if len(hashes) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(owner[: len(owner) - width + 1] == owner[width - 1 :])
+    return Prefix(hashes).at(at, width), owner[at], at

@@ -42,8 +42,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_masked": lambda s, d: _both(lambda df, i, t: pii.masked(df, i, t, _people(s, d)), s, d),
         "p4_found": lambda s, d: mail.old_lines(read(s, d, "ticket_comments")),
         "p4_new_text": lambda s, d: mail.newly_written(read(s, d, "ticket_comments")).select("id", "new_text"),
-        "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
-        "p5_groups": lambda s, d: neardup.near_groups(_comments(s, d), "comment_id", neardup.words(F.col("body")), 0.75, 30),
+        "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.Runs(F.col("body")), 0.75, 30),
+        "p5_groups": lambda s, d: neardup.near_groups(_comments(s, d), "comment_id", neardup.Runs(F.col("body")), 0.75, 30),
         "p6_packed": lambda s, d: _packed(s, d)[0],
         "p6_fill": lambda s, d: packing.fill(*_packed(s, d)),
         "p7_found": lambda s, d: leak.leaked_documents(read(s, d, "documents"), read(s, d, "eval_items")),

@@ -56,6 +56,30 @@ def test_near_duplicates_in_a_hot_family(spark, monkeypatch):
     assert len(want - got) <= 0.002 * len(want), f"{len(want - got)} of {len(want)} missed"
 
 
+@pytest.mark.parametrize("big", [40, 10**6])
+def test_runs_of_texts_and_great_nodes(spark, monkeypatch, big):
+    """The same pairs from texts as from arrays, also if nodes are too great for a task."""
+    monkeypatch.setattr(neardup, "NODE", 8)
+    monkeypatch.setattr(neardup, "BIG", big)
+    sets = _sets(random.Random(3), 160)
+    rows = [(k, " ".join(x).upper() + "'") for k, x in enumerate(sets)] + [(900, " ".join(sets[0])), (901, None), (902, ""), (903, "İstanbul K x"), (None, "a b")]
+    df = spark.createDataFrame(rows, "id long, body string").withColumn("key", F.lit(1)).withColumn("node", F.lit("clash"))
+    held = {k: frozenset(t.lower().replace("'", "").split()) for k, t in rows[: len(sets) + 1]}
+    want = {(a, b) for a, x in held.items() for b, y in held.items() if a < b and len(x & y) / len(x | y) >= 0.75}
+    got = {tuple(r) for r in neardup.near_duplicates(df, "id", neardup.Runs(F.col("body")), 0.75, 5).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    five = lambda t: frozenset(" ".join(t[k : k + 5]) for k in range(len(t) - 4))
+    held = {k: five(t.lower().replace("'", "").split()) for k, t in rows[: len(sets) + 1]}
+    want = {(a, b) for a, x in held.items() for b, y in held.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+    got = {tuple(r) for r in neardup.near_duplicates(df, "id", neardup.Runs(F.col("body"), 5)).collect()}
+    assert got == want
+
+
+def test_short_texts_as_one_shingle(spark):
+    df = spark.createDataFrame([(1, "one two"), (2, "One, two"), (3, "two one"), (4, ""), (5, "one")], "id long, body string")
+    assert {tuple(r) for r in neardup.near_duplicates(df, "id", neardup.Runs(F.col("body"), 5)).collect()} == {(1, 2)}
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id long, body string")
     assert neardup.near_duplicates(df, "id", neardup.shingles(F.col("body"))).count() == 0
