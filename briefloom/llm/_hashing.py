@@ -68,9 +68,9 @@ class Prefix:
             return mix((self.sums[starts + width] - self.sums[starts]) * self.inverse[starts])
 
 
-def minimisers(values: np.ndarray, span: int) -> np.ndarray:
+def minimisers(values: np.ndarray, span: int, owner: np.ndarray | None = None) -> np.ndarray:
     """Places that hold the least value of some ``span`` consecutive places, the rightmost of equal ones: any
-    ``span`` consecutive places hold one, and which they are depends on these places alone."""
+    ``span`` consecutive places (of one owner) hold one, and which they are depends on these places alone."""
     n = len(values)
     if n < span:
         return np.zeros(0, np.int64)
@@ -80,6 +80,8 @@ def minimisers(values: np.ndarray, span: int) -> np.ndarray:
         step = min(width, span - width)
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
+    if owner is not None:
+        least = least[owner[: n - span + 1] == owner[span - 1 :]]
     return np.unique((np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64))
 
 

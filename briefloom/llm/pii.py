@@ -106,8 +106,8 @@ def _sign(ch: str) -> str:
 _DISGUISES = [a + b + "at" for a in "([{<" for b in ("", " ")]
 
 
-def readable(text: str) -> tuple[str, list[int] | None]:
-    """The text as it reads, and the source place of each of its characters (None: unchanged)."""
+def shown(text: str) -> tuple[str, list[int] | None]:
+    """The text with its characters as they read, and the source place of each (None: unchanged)."""
     places: list[int] | None = None
     if (not text.isascii() or "\r" in text or "\t" in text) and _CHANGES.search(text):
         out, places, done = [], [], 0
@@ -128,6 +128,13 @@ def readable(text: str) -> tuple[str, list[int] | None]:
         out.append(text[done:])
         places.extend(range(done, len(text)))
         text = "".join(out)
+    return text, places
+
+
+def readable(text: str) -> tuple[str, list[int] | None]:
+    """The text as it reads, disguised signs and spelled digits undone, and the source place of each of its characters
+    (None: unchanged)."""
+    text, places = shown(text)
     low = text.lower()
     if any(x in low for x in _DISGUISES):
         text, places = _rewritten(text, places, _AT, "@")

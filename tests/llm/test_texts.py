@@ -163,6 +163,20 @@ def test_short_answers_to_long_quotations():
     assert old(one, f"before {one} after", two) == [False]
 
 
+def test_reasons(spark):
+    """Inherited runs without any form, runs of several first messages, own earlier words, and endings that recur."""
+    word = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    sign = "Anna W\nDesk 7 in the long hall"
+    rows = [
+        (1, "t", "Bo", f"first {word('a')} end", "web"), (2, "t", "Bo", f"{word('a')} {word('b')}", "web"), (3, "t", "Anna", f"short answer\n{word('a')} {word('b')}", "email"), (4, "t", "Anna", f"mine again\n{word('a')}\nnew words below", "email"),
+        *((10 + k, f"u{k}", name, f"Text number {k} is new.\nMore of it {k}.\n\n{sign}\n> quoted", "email") for k, name in enumerate(["Anna W", "W, Anna", "anna w"])),
+        (20, "v", "Anna W", sign, "email"), (21, "v", "Cy", f"Other text.\n\n{sign}", "email"),
+    ]
+    df = spark.createDataFrame(rows, "comment_id long, ticket_key string, author string, body string, channel string").withColumn("why", F.lit(1)).withColumn("line_no", F.lit("x"))
+    got = {(r["id"], r["line_no"]): r["why"] for r in mail.line_reasons(df).collect()}
+    assert got == {(3, 2): "inherited", (4, 2): "inherited"} | {(10 + k, j): "ending" for k in range(3) for j in (4, 5)} | {(10 + k, 6): "form" for k in range(3)} | {(20, 2): "ending"}
+
+
 def test_short_inherited_runs(spark):
     """Runs of 14 words, of short words or in short mails."""
     rng = random.Random(8)
