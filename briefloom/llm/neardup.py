@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +37,7 @@ from ._hashing import chunks, latin_and_digits, mix, runs_of, word_hashes
 #: Least number of independent trees, and the share of the pairs at the threshold that all trees together may miss.
 TREES, MISSED = 12, 0.001
 #: Sets that a node may hold to be compared exhaustively, and to go down its tree within a task.
-NODE, BIG = 1024, 200_000
+NODE, BIG = 512, 200_000
 #: Levels after which a node that is still large is compared in blocks.
 DEPTH = 12
 #: Minwise tokens that give a bit of the sketch, and those that choose the paths of a tree, of which a byte is kept.
@@ -160,6 +161,10 @@ class _Rows:
     def __init__(self, node: np.ndarray, key: np.ndarray, n: np.ndarray, bits: np.ndarray, path: np.ndarray):
         self.node, self.key, self.n, self.bits, self.path = node, key, n, bits, path
 
+    @cached_property
+    def lead(self) -> np.ndarray:
+        return np.ascontiguousarray(self.bits[:, 0])
+
     def __len__(self) -> int:
         return len(self.key)
 
@@ -242,9 +247,13 @@ def _close(a: _Rows, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarr
     """Which of the pairs of rows may reach the threshold, by sizes and sketches."""
     p = (1 + threshold) / 2
     need = math.floor(MINWISE * p - SLACK * math.sqrt(MINWISE * p * (1 - p)))
-    ni, nj = a.n[i], a.n[j]
-    ok = np.minimum(ni, nj) >= threshold * np.maximum(ni, nj)
+    # A first look at 64 of the bits, which leaves few pairs of other sets.
+    ok = np.bitwise_count(a.lead[i] ^ a.lead[j]) <= 64 * (1 - p) + (SLACK + 0.5) * math.sqrt(64 * p * (1 - p))
     i, j = i[ok], j[ok]
+    ni, nj = a.n[i], a.n[j]
+    fit = np.minimum(ni, nj) >= threshold * np.maximum(ni, nj)
+    ok[ok] = fit
+    i, j = i[fit], j[fit]
     ok[ok] = np.bitwise_count(a.bits[i] ^ a.bits[j]).sum(axis=1, dtype=np.int32) <= MINWISE - need
     return ok
 
