@@ -51,12 +51,12 @@ def chunks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
 class Prefix:
     """Prefix hashes of a sequence of numbers; the hash of any window is one subtraction away."""
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, seed: int = 0x632BE59BD9B4E019):
         self.n = len(symbols)
         with np.errstate(over="ignore"):
             p, self.inverse = _powers_to(self.n + 1)
             self.sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(mix(symbols.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * p[: self.n], dtype=np.uint64, out=self.sums[1:])
+            np.cumsum(mix(symbols.astype(np.uint64) + np.uint64(seed)) * p[: self.n], dtype=np.uint64, out=self.sums[1:])
 
     def every(self, width: int) -> np.ndarray:
         """Hashes of all windows of the given width, by start."""

@@ -29,11 +29,13 @@ TOKEN = 64
 GRAM = 8
 #: Characters that are hashed at once; a longer text is hashed alone.
 CHUNK = 1_000_000
+#: Seed of the second hash of full-length windows: with it they have 128 bits, as many as leave no false span at any size.
+SECOND = 0x8A5CD789635D2DFF
 
 
 def _windows(span: int):
-    """Rows of (doc_id, pos, q, s): each token start and the hashes of the window of ``span - TOKEN + 1`` characters
-    there and of the one of ``span`` (null at the end of a text)."""
+    """Rows of (doc_id, pos, q, s, z): each token start and the hash of the window of ``span - TOKEN + 1`` characters there
+    and both hashes of the one of ``span`` (null at the end of a text)."""
     short = span - TOKEN + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,7 +45,8 @@ def _windows(span: int):
             for a, b in chunks([len(x) for x in texts], CHUNK):
                 lens = np.array([len(x) for x in texts[a:b]])
                 ends = np.cumsum(lens)
-                whole = Prefix(np.concatenate(texts[a:b]))
+                symbols = np.concatenate(texts[a:b])
+                whole = Prefix(symbols)
                 grams = whole.every(GRAM)
                 out = []
                 for k in range(b - a):
@@ -58,31 +61,34 @@ def _windows(span: int):
                 pos = np.concatenate([x[1] for x in out])
                 at = np.concatenate([x[1] + x[2] for x in out])
                 fits = np.concatenate([x[1] + x[2] + span <= x[3] for x in out])
-                s = np.zeros(len(at), np.int64)
+                s, z = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 s[fits] = whole.at(at[fits], span).view(np.int64)
-                yield pd.DataFrame({"doc_id": np.concatenate([x[0] for x in out]), "pos": pos.astype(np.int32), "q": whole.at(at, short).view(np.int64), "s": pd.arrays.IntegerArray(s, ~fits)})
+                z[fits] = Prefix(symbols, SECOND).at(at[fits], span).view(np.int64)
+                yield pd.DataFrame({"doc_id": np.concatenate([x[0] for x in out]), "pos": pos.astype(np.int32), "q": whole.at(at, short).view(np.int64), "s": pd.arrays.IntegerArray(s, ~fits), "z": pd.arrays.IntegerArray(z, ~fits)})
 
     return run
 
 
 def _places(span: int):
-    """Rows of (doc_id, pos, s): the full-length windows at each token start given and the TOKEN - 1 places before it."""
+    """Rows of (doc_id, pos, s, z): the full-length windows at each token start given and the TOKEN - 1 places before it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc, text, cuts in zip(pdf["doc_id"], pdf["text"], pdf["cuts"]):
-                whole = Prefix(codepoints(text))
+                symbols = codepoints(text)
+                whole = Prefix(symbols)
                 at = np.unique(np.asarray(cuts, np.int64)[:, None] - np.arange(TOKEN)[None, :])
                 at = at[(at >= 0) & (at + span <= whole.n)]
                 if len(at):
-                    yield pd.DataFrame({"doc_id": doc, "pos": at.astype(np.int32), "s": whole.at(at, span).view(np.int64)})
+                    yield pd.DataFrame({"doc_id": doc, "pos": at.astype(np.int32), "s": whole.at(at, span).view(np.int64), "z": Prefix(symbols, SECOND).at(at, span).view(np.int64)})
 
     return run
 
 
-def _repeated(df: DataFrame, key: str) -> DataFrame:
-    """The values of ``key`` that stand in two or more records."""
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select(key)
+def _repeated(df: DataFrame, *key: str) -> DataFrame:
+    """The values of ``key`` that stand in two or more records, one row each: what joins them is split by adaptive execution if
+    one value holds a large part of all rows."""
+    return df.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select(*key)
 
 
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400) -> DataFrame:
@@ -95,21 +101,24 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if span < 2 * TOKEN:
         raise ValueError(f"span must be {2 * TOKEN} characters at least")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(f"doc_id is not null and length(text) >= {span}")
-    windows = docs.mapInPandas(_windows(span), "doc_id long, pos int, q long, s long")
+    windows = docs.mapInPandas(_windows(span), "doc_id long, pos int, q long, s long, z long")
     cuts = stored(windows.join(_repeated(windows.select("doc_id", "q"), "q"), "q", "left_semi"))
 
-    # Full-length windows at token starts.  Between two that repeat, not more than span apart, everything is covered;
-    # elsewhere a stretch may begin or end at any of the places before a token start.
-    full = cuts.join(_repeated(cuts, "s").withColumn("hit", F.lit(True)), "s", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).distinct()
+    # Full-length windows at token starts.  A token start is settled if a window that repeats starts at it and another one
+    # TOKEN - 1 or more and ``span`` or less before it: any window that starts between them is covered.  Elsewhere a stretch may begin or end
+    # at any of the places before the token start.
+    whole = cuts.filter("s is not null")
+    hits = whole.join(_repeated(whole, "s", "z"), ["s", "z"], "left_semi").select("doc_id", "pos", "q", F.lit(True).alias("hit"))
+    full = cuts.select("doc_id", "pos", "q", F.lit(False).alias("hit")).union(hits).groupBy("doc_id", "pos", "q").agg(F.max("hit").alias("hit"))
     before = Window.partitionBy("doc_id").orderBy("pos")  # one record's token starts: bounded by its text
-    last = F.last(F.when(F.col("hit"), F.col("pos")), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last(F.when(F.col("hit"), F.col("pos")), ignorenulls=True).over(before.rangeBetween(Window.unboundedPreceding, 1 - TOKEN))
     full = stored(full.withColumn("open", ~(F.col("hit") & F.coalesce(F.col("pos") - last <= span, F.lit(False)))))
     # The same token starts of the other records are needed too, as that is where an open one's windows have their partners.
     gaps = full.join(full.filter("open").select("q").distinct(), "q", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("cuts"))
     # Only the texts that hold such a place are moved: their ids are a table of their own, broadcast while it is small.
     ids = stored(full.select("doc_id").distinct())
-    places = stored(docs.join(ids, "doc_id", "left_semi").join(gaps, "doc_id").mapInPandas(_places(span), "doc_id long, pos int, s long"))
-    found = places.join(_repeated(places, "s"), "s", "left_semi")
+    places = stored(docs.join(ids, "doc_id", "left_semi").join(gaps, "doc_id").mapInPandas(_places(span), "doc_id long, pos int, s long, z long"))
+    found = places.join(_repeated(places, "s", "z"), ["s", "z"], "left_semi")
 
     starts = found.select("doc_id", "pos").union(full.filter("hit").select("doc_id", "pos")).distinct()
     fresh = F.coalesce(F.col("pos") - F.lag("pos").over(before) > span, F.lit(True)).cast("int")
