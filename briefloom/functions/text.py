@@ -206,23 +206,23 @@ def is_decision(s: Column) -> Column:
 
 
 def extracts(text: Column) -> Column:
-    """What a block says: ``array<struct<stage, list, category, text>>`` in order of the stages."""
+    """What a block says: ``array<struct<j, list, category, text>>``, j being the place among its kind; risks and dependencies are one kind."""
     said = sentences(text)
 
-    def rows(items: Column, stage: int, name: str, category: str) -> Column:
-        return F.transform(items, lambda x: F.struct(F.lit(stage).alias("stage"), F.lit(name).alias("list"), F.lit(category).alias("category"), x.alias("text")))
+    def rows(items: Column, name: str, category: str) -> Column:
+        return F.transform(items, lambda x, j: F.struct(j.alias("j"), F.lit(name).alias("list"), F.lit(category).alias("category"), x.alias("text")))
 
     todo = F.transform(F.filter(said, lambda x: x.rlike(vocab.words(vocab.TODO))), lambda x: F.regexp_replace(x, r"(?i)^(?:todo|fixme)\s*[:\-]\s*", ""))
     needs = lambda x: x.rlike(vocab.DEPENDENCY_PATTERN)
     last = F.transform(
         F.filter(said, lambda x: needs(x) | x.rlike(vocab.words(vocab.RISK))),
-        lambda x: F.struct(F.lit(4).alias("stage"), F.when(needs(x), "dependencies").otherwise("risks").alias("list"), F.when(needs(x), "DEPENDENCY").otherwise("RISK").alias("category"), x.alias("text")),
+        lambda x, j: F.struct(j.alias("j"), F.when(needs(x), "dependencies").otherwise("risks").alias("list"), F.when(needs(x), "DEPENDENCY").otherwise("RISK").alias("category"), x.alias("text")),
     )
     return F.concat(
-        rows(F.filter(said, is_decision), 1, "decisions", "DECISION"),
-        rows(F.concat(section_items(text), scenarios(text)), 2, "acceptanceCriteria", "ACCEPTANCE_CRITERIA"),
-        rows(F.filter(said, lambda x: x.rlike(vocab.words(vocab.REQUIREMENT))), 2, "constraints", "CONSTRAINT"),
-        rows(todo, 3, "todos", "TODO"),
+        rows(F.filter(said, is_decision), "decisions", "DECISION"),
+        rows(F.concat(section_items(text), scenarios(text)), "acceptanceCriteria", "ACCEPTANCE_CRITERIA"),
+        rows(F.filter(said, lambda x: x.rlike(vocab.words(vocab.REQUIREMENT))), "constraints", "CONSTRAINT"),
+        rows(todo, "todos", "TODO"),
         last,
     )
 

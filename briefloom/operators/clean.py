@@ -29,11 +29,11 @@ def sources(heads: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def noise_report(rows: DataFrame) -> DataFrame:
-    """``doc, n, text``: what the filter says it left out, in the order of the brief."""
-    logs = rows.filter("reason = 'log dump'").select("doc", F.col("no").alias("n"), F.concat(F.lit("Log/stack-trace dump removed from "), "origin", F.lit(" ("), T.utf16_length(F.col("text")).cast("string"), F.lit(" chars)")).alias("text"))
-    said = {"bot message": (1, " bot message(s) removed"), "greeting/acknowledgement": (2, " greeting/acknowledgement comment(s) removed"), "emoji/symbol spam": (3, " emoji-only comment(s) removed")}
+    """``doc, n, text``: what the filter says it left out, by its place in the brief."""
+    logs = rows.filter("reason = 'log dump'").select("doc", F.array(F.lit(1).cast("long"), "no").alias("n"), F.concat(F.lit("Log/stack-trace dump removed from "), "origin", F.lit(" ("), T.utf16_length(F.col("text")).cast("string"), F.lit(" chars)")).alias("text"))
+    said = {"bot message": (2, " bot message(s) removed"), "greeting/acknowledgement": (3, " greeting/acknowledgement comment(s) removed"), "emoji/symbol spam": (4, " emoji-only comment(s) removed")}
     counts = rows.groupBy("doc", "reason").count()
-    parts = [counts.filter(F.col("reason") == r).select("doc", F.lit((1 << 50) + k).alias("n"), F.concat(F.col("count").cast("string"), F.lit(s)).alias("text")) for r, (k, s) in said.items()]
+    parts = [counts.filter(F.col("reason") == r).select("doc", F.array(F.lit(k).cast("long")).alias("n"), F.concat(F.col("count").cast("string"), F.lit(s)).alias("text")) for r, (k, s) in said.items()]
     for p in parts:
         logs = logs.union(p)
     return logs

@@ -2,65 +2,65 @@
 
 A text that is a near-duplicate of an earlier kept one is dropped.  That order decides, so components or a plain
 distinct would give other results.  Equal normal forms fold first; what links the others is found by two exact
-filters (rare words that sets so alike must share, and the least 8-gram that a contained text must share with the
-one around it), verified, and resolved in rounds: a text is kept once all earlier texts linked to it are dropped.
+filters (rare words that sets so alike must share, and a rare word from within a contained text that the one around it
+must hold too), verified, and resolved in rounds: a text is kept once all earlier texts linked to it are dropped.
 No group is ever brought together in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from zlib import crc32
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .store import stored
 
-_GRAM, _SPAN = 8, T.CONTAINED + 1 - 8 + 1
-
-
-def _least_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(g, n, form) to (g, n, gram, first): for every 21 characters of a form their least 8-gram by hash; ``first``
-    marks that of its own first 21."""
-    for pdf in batches:
-        rows = []
-        for g, n, form in zip(pdf["g"], pdf["n"], pdf["form"]):
-            grams = [form[k : k + _GRAM] for k in range(len(form) - _GRAM + 1)]
-            keys = [(crc32(x.encode()), x) for x in grams]  # the same on every machine and run
-            lead = min(keys[:_SPAN])
-            chosen, at = {lead[1]}, keys.index(lead)
-            for k in range(1, len(keys) - _SPAN + 1):  # slide: look again only when the least one leaves
-                if at < k:
-                    window = keys[k : k + _SPAN]
-                    at = k + window.index(min(window))
-                elif keys[k + _SPAN - 1] < keys[at]:
-                    at = k + _SPAN - 1
-                chosen.add(keys[at][1])
-            rows += [(g, n, x, x == lead[1]) for x in chosen]
-        yield pd.DataFrame(rows, columns=["g", "n", "gram", "first"])
+#: Characters of a long word that stand for a contained text of one or two words; such a text has a word of that length.
+_GRAM = (T.CONTAINED + 1) // 2
+
+
+def _words(form: Column) -> Column:
+    return F.split(form, " ")
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``g, x, y`` where the form of ``inner`` (g, x, form, over ``T.CONTAINED`` characters) lies within that of ``outer``
+    (g, y, form; y unique in g): the words within a contained text, but for the first and last, are words of the other."""
+    words = outer.select("g", "y", F.explode(F.array_distinct(_words(F.col("form")))).alias("w"))
+    counts = words.groupBy("g", "w").agg(F.count("*").alias("df"))
+    long_ = inner.filter(F.size(_words(F.col("form"))) >= 3)
+    within = long_.select("g", "x", F.explode(F.array_distinct(F.slice(_words(F.col("form")), F.lit(2), F.size(_words(F.col("form"))) - 2))).alias("w"))
+    rarest = within.join(counts, ["g", "w"], "left").groupBy("g", "x").agg(F.min(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "w")).alias("r")).filter("r.df > 0").select("g", "x", F.col("r.w").alias("w"))
+    found = rarest.join(words, ["g", "w"]).select("g", "x", "y")
+    # One or two words: the longer one begins with characters that some word of the other must hold.
+    short = inner.filter(F.size(_words(F.col("form"))) < 3)
+    lead = short.select("g", "x", F.substring(F.array_max(F.transform(_words(F.col("form")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], 1, _GRAM).alias("gram"))
+    grams = words.filter(F.length("w") >= _GRAM).join(short.select("g").distinct(), "g", "left_semi")
+    grams = grams.select("g", "y", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - _GRAM + 1), lambda k: F.substring(F.col("w"), k, F.lit(_GRAM)))).alias("gram"))
+    pairs = found.union(lead.join(grams, ["g", "gram"]).select("g", "x", "y")).distinct()
+    forms = pairs.join(inner.select("g", "x", F.col("form").alias("fx")), ["g", "x"]).join(outer.select("g", "y", F.col("form").alias("fy")), ["g", "y"])
+    return forms.filter(F.col("fy").contains(F.col("fx"))).select("g", "x", "y")
 
 
 def near_edges(items: DataFrame) -> DataFrame:
     """``g, a, b`` (a < b) of near-duplicates among ``items`` (``g`` group, ``n`` unique order in it, ``form``
     distinct normal forms in it)."""
-    w = items.filter("form <> ''").select("g", "n", F.explode(T.word_set(F.col("form"))).alias("w"))
-    counts = w.groupBy("w").agg(F.count("*").alias("df"))
-    size = F.size(T.word_set(F.col("form")))
-    # Sets with a Jaccard of 3/4 share one of their rarest ceil(n / 4) words (and one more when n divides).
-    ranked = w.join(counts, "w").groupBy("g", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    prefix = ranked.select("g", "n", F.size("ws").alias("m"), F.explode(F.slice("ws", F.lit(1), (F.size("ws") - F.ceil(F.size("ws") * T.NEAR) + 1).cast("int"))).alias("x")).select("g", "n", "m", "x.w")
-    a, b = (prefix.select("g", F.col("n").alias(c), F.col("m").alias(f"m{c}"), "w") for c in ("a", "b"))
-    alike = a.join(b, ["g", "w"]).filter((F.col("a") < F.col("b")) & (F.least("ma", "mb") >= T.NEAR * F.greatest("ma", "mb"))).select("g", "a", "b").distinct()
-    grams = items.filter(F.length("form") > T.CONTAINED).select("g", "n", "form").mapInPandas(_least_grams, items.select("g", "n").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", gram string, first boolean")
-    inner = grams.filter("first").select("g", F.col("n").alias("x"), "gram")
-    within = inner.join(grams.select("g", F.col("n").alias("y"), "gram"), ["g", "gram"]).filter("x <> y").select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = alike.union(within).distinct()
+    w = items.filter("form <> ''").select("g", "n", T.word_set(F.col("form")).alias("s")).select("g", "n", F.size("s").alias("m"), F.explode("s").alias("w"))
+    counts = w.groupBy("g", "w").agg(F.count("*").alias("df"))
+    # Sets with a Jaccard of 3/4 share one of their rarest ceil(n / 4) words (and one more when n divides); what stands in
+    # one text alone is shared by none.  A word further back leaves too few behind it for a pair that meets there first.
+    ranked = w.join(counts, ["g", "w"]).groupBy("g", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))  # of one text
+    prefix = ranked.select("g", "n", "m", F.posexplode(F.slice("ws", F.lit(1), (F.col("m") - F.ceil(F.col("m") * T.NEAR) + 1).cast("int"))).alias("at", "x")).filter("x.df > 1").select("g", "n", "m", "at", "x.w")
+    a, b = (prefix.select("g", F.col("n").alias(c), F.col("m").alias(f"m{c}"), F.col("at").alias(f"at{c}"), "w") for c in ("a", "b"))
+    common = F.ceil((F.col("ma") + F.col("mb")) * T.NEAR / (1 + T.NEAR) - 1e-9)
+    fits = (F.col("a") < F.col("b")) & (F.least("ma", "mb") >= T.NEAR * F.greatest("ma", "mb")) & (F.least(F.col("ma") - F.col("ata"), F.col("mb") - F.col("atb")) >= common)
+    alike = a.join(b, ["g", "w"]).filter(fits).select("g", "a", "b").distinct()
     forms = items.select("g", "n", "form")
-    both = pairs.join(forms.select("g", F.col("n").alias("a"), F.col("form").alias("fa")), ["g", "a"]).join(forms.select("g", F.col("n").alias("b"), F.col("form").alias("fb")), ["g", "b"])
-    return both.filter(T.near_duplicate(F.col("fa"), F.col("fb"))).select("g", "a", "b")
+    both = alike.join(forms.select("g", F.col("n").alias("a"), F.col("form").alias("fa")), ["g", "a"]).join(forms.select("g", F.col("n").alias("b"), F.col("form").alias("fb")), ["g", "b"])
+    similar = both.filter(T.jaccard(T.word_set(F.col("fa")), T.word_set(F.col("fb"))) >= T.NEAR).select("g", "a", "b")
+    long_ = forms.filter(F.length("form") > T.CONTAINED)
+    within = contained(long_.withColumnRenamed("n", "x"), long_.withColumnRenamed("n", "y")).filter("x <> y")
+    return similar.union(within.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def first_kept(edges: DataFrame) -> DataFrame:

@@ -19,10 +19,15 @@ from ..functions import vocab
 from ..operators import clean, dedup, graph
 from ..operators.store import stored
 
+#: Parts of a ticket that its short criteria or constraints are compared with one by one.
+_SHARES = 16
 LISTS = ["architecture", "decisions", "constraints", "acceptanceCriteria", "risks", "todos", "dependencies"]
 _CATEGORY = {"decisions": "DECISION", "constraints": "CONSTRAINT", "acceptanceCriteria": "ACCEPTANCE_CRITERIA", "risks": "RISK", "todos": "TODO", "dependencies": "DEPENDENCY"}
-#: Paragraphs of one source that have places of their own.
-_PLACES = 1 << 22
+
+
+def _at(*parts) -> Column:
+    """A place in order: numbers compared one after another."""
+    return F.array(*[F.col(x).cast("long") if isinstance(x, str) else F.lit(x).cast("long") for x in parts])
 
 
 def _weights() -> Column:
@@ -33,30 +38,28 @@ def _levels(names: list[str]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(vocab.LEVELS[k]).alias("threshold")) for k in names]))
 
 
-def _near(a: str, b: str) -> bool:
-    """The near-duplicate test on normal forms, for short folds."""
-    if a == b or (len(a) > T.CONTAINED and len(b) > T.CONTAINED and (a in b or b in a)):
-        return True
-    x, y = set(a.split()), set(b.split())
-    return bool(x and y) and len(x & y) / len(x | y) >= T.NEAR
-
-
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     """Texts in order into slots: each goes to the first slot whose text it nearly repeats and replaces that if longer."""
     slots: list[list] = []
-    for n, text, form in sorted(zip(pdf["n"], pdf["text"], pdf["form"])):
+    for n, text, form in sorted(zip(map(tuple, pdf["n"]), pdf["text"], pdf["form"])):
+        words, size = set(form.split()), len(text.encode("utf-16-le"))
         for s in slots:
-            if _near(s[2], form):
-                if len(text.encode("utf-16-le")) > len(s[1].encode("utf-16-le")):
-                    s[1], s[2] = text, form
+            held, same = s[2], s[2] == form
+            if same or (len(form) > T.CONTAINED and len(held) > T.CONTAINED and (form in held or held in form)):
+                near = True
+            else:
+                near = bool(words and s[3]) and min(len(words), len(s[3])) >= T.NEAR * max(len(words), len(s[3])) and len(words & s[3]) >= T.NEAR * len(words | s[3])
+            if near:
+                if size > s[4]:
+                    s[1:] = [text, form, words, size]
                 break
         else:
-            slots.append([n, text, form])
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(slots), "n": [s[0] for s in slots], "text": [s[1] for s in slots]})
+            slots.append([n, text, form, words, size])
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(slots), "n": [list(s[0]) for s in slots], "text": [s[1] for s in slots]})
 
 
 def unique_texts(items: DataFrame) -> DataFrame:
-    """``g, n, text`` of items that say something new in their group, longer wordings in place of shorter near-duplicates.
+    """``g, n, text`` of items (``n`` a place) that say something new in their group, longer wordings in place of shorter near-duplicates.
 
     Texts meet in a slot only if near-duplicates link them, so that each linked set of a group folds on its own.
     """
@@ -100,33 +103,57 @@ class Briefs:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        """``doc, n, no, text, kept_by, form``: paragraphs in order, and the first kept near-duplicate of each."""
+        """``doc, n, no, k, text, kept_by, form``: paragraphs by their places ``n`` (source and paragraph), and the first kept
+        near-duplicate of each."""
         live = self.sources.filter("reason is null").select("doc", "no", F.posexplode(T.blocks(F.col("text"))).alias("k", "text"))
-        rows = live.select(F.col("doc").alias("g"), (F.col("no") * _PLACES + F.col("k")).alias("n"), "no", "text", T.normal_form(F.col("text")).alias("form"))
+        rows = live.select(F.col("doc").alias("g"), _at("no", "k").alias("n"), "no", "k", "text", T.normal_form(F.col("text")).alias("form"))
         return stored(dedup.collapse(stored(rows)).withColumnRenamed("g", "doc"))
 
     @cached_property
     def kept(self) -> DataFrame:
-        """``doc, n, no, text, times``: kept paragraphs with the number of times they were said."""
+        """``doc, n, no, k, text, times``: kept paragraphs with the number of times they were said."""
         times = self.blocks.groupBy("doc", F.col("kept_by").alias("n")).agg(F.count("*").alias("times"))
-        out = self.blocks.filter("n = kept_by").select("doc", "n", "no", "text").join(times, ["doc", "n"])
+        out = self.blocks.filter("n = kept_by").select("doc", "n", "no", "k", "text").join(times, ["doc", "n"])
         for stage in self.block_stages:
             out = stage.apply(out)
         return stored(out)
 
     @cached_property
     def extracts(self) -> DataFrame:
-        """``doc, n, k, list, category, text`` in order; constraints that an earlier or own criterion covers are out."""
-        rows = stored(self.kept.select("doc", "n", F.posexplode(T.extracts(F.col("text"))).alias("k", "x")).select("doc", "n", "k", "x.list", "x.category", "x.text"))
+        """``doc, n, j, list, category, text``, j being the place in the paragraph's list; constraints that an earlier or own
+        criterion covers are out."""
+        rows = stored(self.kept.select("doc", "n", F.explode(T.extracts(F.col("text"))).alias("x")).select("doc", "n", "x.j", "x.list", "x.category", "x.text"))
         form = T.normal_form(F.col("text"))
-        criteria = rows.filter("list = 'acceptanceCriteria'").groupBy(F.col("doc").alias("d"), form.alias("ac")).agg(F.min("n").alias("at"))
-        limits = rows.filter("list = 'constraints'").withColumn("form", form)
-        covered = (F.col("doc") == F.col("d")) & (F.col("at") <= F.col("n")) & (F.col("form").contains(F.col("ac")) | F.col("ac").contains(F.col("form")))
-        return stored(rows.filter("list <> 'constraints'").union(limits.join(criteria, covered, "left_anti").drop("form")))
+        criteria = stored(rows.filter("list = 'acceptanceCriteria'").groupBy("doc", form.alias("form")).agg(F.min("n").alias("at")))
+        limits = stored(rows.filter("list = 'constraints'").withColumn("form", form))
+        return stored(rows.filter("list <> 'constraints'").union(limits.join(self._covered(limits, criteria), ["doc", "form", "n"], "left_anti").select(rows.columns)))
+
+    @staticmethod
+    def _covered(limits: DataFrame, criteria: DataFrame) -> DataFrame:
+        """``doc, form, n`` of the constraints that contain, or are contained in, a criterion that stands at or before them.
+
+        Forms of over ``T.CONTAINED`` characters meet by a word within the shorter one.  A ticket has few different forms
+        shorter than that; they go to each of ``_SHARES`` shares of its other side.
+        """
+        forms = limits.groupBy("doc", "form").agg(F.max("n").alias("last"))
+        each = forms.join(criteria.groupBy("doc").agg(F.min("at").alias("at")), "doc").filter("at <= last").select("doc", "form")
+        size = lambda d, short: d.filter(F.length("form") <= T.CONTAINED if short else F.length("form") > T.CONTAINED)
+        node = lambda d, c: d.select(F.col("doc").alias("g"), F.col("form").alias(c), "form")
+        long_a, long_b = size(each, False), size(criteria, False)
+        pairs = dedup.contained(node(long_a, "x"), node(long_b, "y")).select("g", F.col("x").alias("form"), F.col("y").alias("ac"))
+        pairs = pairs.union(dedup.contained(node(long_b, "x"), node(long_a, "y")).select("g", F.col("y").alias("form"), F.col("x").alias("ac")))
+        share = lambda c: F.pmod(F.xxhash64(c), F.lit(_SHARES))
+        shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SHARES - 1).cast("long"))).alias("share")
+        some = size(criteria, True).select(F.col("doc").alias("g"), F.col("form").alias("ac"), shares)
+        pairs = pairs.union(each.select(F.col("doc").alias("g"), "form", share("form").alias("share")).join(some, ["g", "share"]).filter("contains(form, ac) or contains(ac, form)").select("g", "form", "ac"))
+        some = size(each, True).select(F.col("doc").alias("g"), "form", shares)
+        pairs = pairs.union(long_b.select(F.col("doc").alias("g"), F.col("form").alias("ac"), share("form").alias("share")).join(some, ["g", "share"]).filter("contains(ac, form)").select("g", "form", "ac"))
+        first = pairs.join(criteria.select(F.col("doc").alias("g"), F.col("form").alias("ac"), "at"), ["g", "ac"]).groupBy(F.col("g").alias("doc"), "form").agg(F.min("at").alias("at"))
+        return limits.select("doc", "form", "n").join(first, ["doc", "form"]).filter("at <= n").select("doc", "form", "n").distinct()
 
     @cached_property
     def scored(self) -> DataFrame:
-        """``doc, n, no, text, times, categories, score`` of kept paragraphs."""
+        """``doc, n, no, k, text, times, categories, score`` of kept paragraphs."""
         said = self.extracts.groupBy("doc", "n").agg(F.collect_set("category").alias("said"))
         t = F.col("text")
         tags = F.array_compact(F.array(F.when(T.is_architectural(t), "ARCHITECTURE"), F.when(T.is_goal_block(t), "BUSINESS_GOAL"), F.when(T.is_log_dump(t), "NOISE")))
@@ -140,8 +167,8 @@ class Briefs:
     @cached_property
     def lists(self) -> DataFrame:
         """``doc, field, n, text``: the entries of the record's lists before levels, without near-duplicates."""
-        items = self.extracts.select(F.struct("doc", F.col("list").alias("field")).alias("g"), F.struct("n", "k").alias("n"), "text")
-        out = unique_texts(items.select("g", F.col("n.n") * F.lit(1 << 16) + F.col("n.k"), "text").toDF("g", "n", "text"))
+        items = self.extracts.select(F.struct("doc", F.col("list").alias("field")).alias("g"), F.array(F.col("n")[0], F.col("n")[1], F.col("j").cast("long")).alias("n"), "text")
+        out = unique_texts(items)
         return stored(out.select("g.doc", "g.field", "n", "text"))
 
     @cached_property
@@ -156,16 +183,16 @@ class Briefs:
         listed = self.lists.select("*", _levels(self.levels).alias("l")).filter(F.element_at(weight, F.col("field")) >= F.col("l.threshold")).select("doc", "l.level", "field", "n", "text")
         summary = self.live.filter("no = 0").groupBy(*at).agg(F.min("n").alias("n"), F.min_by("text", "n").alias("text")).select(*at, F.lit("summary").alias("field"), "n", F.array_join(F.slice(T.sentences(F.col("text")), 1, 2), " ").alias("text"))
         goal = self.live.withColumn("goal", T.goal_sentence(F.col("text"))).filter("goal is not null").groupBy(*at).agg(F.min("n").alias("n"), F.min_by("goal", "n").alias("text")).select(*at, F.lit("goal").alias("field"), "n", "text")
-        keys = self.live.select(*at, "n", F.posexplode(T.issue_keys(F.col("text"))).alias("k", "text")).select(*at, (F.col("n") * F.lit(1 << 16) + F.col("k")).alias("n"), "text")
+        keys = self.live.select(*at, "no", "k", F.posexplode(T.issue_keys(F.col("text"))).alias("j", "text")).select(*at, _at(1, "no", "k", "j").alias("n"), "text")
         heads = self.heads.select("doc", "title", "linked", _levels(self.levels).alias("l")).select("*", "l.level")
-        in_title = heads.select(*at, F.posexplode(T.issue_keys(F.col("title"))).alias("k", "text")).select(*at, (F.col("k") - F.lit(1 << 40)).cast("long").alias("n"), "text")
-        linked = heads.filter(~T.is_blank(F.col("linked"))).select(*at, F.posexplode(F.split("linked", ",")).alias("k", "text")).select(*at, (F.col("k") + F.lit(1 << 62)).cast("long").alias("n"), T.strip(F.col("text")).alias("text"))
+        in_title = heads.select(*at, F.posexplode(T.issue_keys(F.col("title"))).alias("k", "text")).select(*at, _at(0, "k").alias("n"), "text")
+        linked = heads.filter(~T.is_blank(F.col("linked"))).select(*at, F.posexplode(F.split("linked", ",")).alias("k", "text")).select(*at, _at(2, "k").alias("n"), T.strip(F.col("text")).alias("text"))
         related = keys.union(in_title).union(linked).groupBy(*at, "text").agg(F.min("n").alias("n")).select(*at, F.lit("related").alias("field"), "n", "text")
         noise = clean.noise_report(self.sources)
-        twice = self.blocks.filter("n <> kept_by").groupBy("doc").count().select("doc", F.lit((1 << 50) + 10).alias("n"), F.concat(F.col("count").cast("string"), F.lit(" duplicate/near-duplicate paragraph(s) collapsed")).alias("text"))
+        twice = self.blocks.filter("n <> kept_by").groupBy("doc").count().select("doc", _at(5).alias("n"), F.concat(F.col("count").cast("string"), F.lit(" duplicate/near-duplicate paragraph(s) collapsed")).alias("text"))
         said = noise.union(twice).select("doc", _levels(self.levels).alias("l"), "n", "text").select("doc", "l.level", F.lit("ignored").alias("field"), "n", "text")
         low = self.scored.select("doc", "score", _levels(self.levels).alias("l")).filter(F.col("score") < F.col("l.threshold")).groupBy("doc", "l.level").count()
-        low = low.select(*at, F.lit("ignored").alias("field"), F.lit((1 << 50) + 20).alias("n"), F.concat(F.col("count").cast("string"), F.lit(" low-value paragraph(s) dropped below the "), F.lower("level"), F.lit(" threshold")).alias("text"))
+        low = low.select(*at, F.lit("ignored").alias("field"), _at(6).alias("n"), F.concat(F.col("count").cast("string"), F.lit(" low-value paragraph(s) dropped below the "), F.lower("level"), F.lit(" threshold")).alias("text"))
         out = listed
         for x in (summary, goal, related, said, low):
             out = out.union(x)

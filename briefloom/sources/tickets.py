@@ -28,11 +28,12 @@ def is_app(author: Column, account: Column) -> Column:
 
 
 def from_json(df: DataFrame, id_col: str, json_col: str) -> Tickets:
-    """Tickets of JSON exports: one a payload, or a page of them under ``issues``.  ``doc`` is id and place.  Missing and
+    """Tickets of JSON exports: one a payload, a page of them under ``issues``, or a list of either.  ``doc`` is id and place.  Missing and
     non-text values are empty; invalid payloads give nothing."""
     v = F.col("v")
     pages = df.select(F.col(id_col).cast("string").alias("id"), parse_json_strict(F.col(json_col)).alias("v")).filter("v is not null")
-    each = F.when(is_array(F.try_variant_get(v, "$.issues", "variant")), F.try_variant_get(v, "$.issues", "array<variant>")).otherwise(F.array(v))
+    whole = F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    each = F.flatten(F.transform(whole, lambda x: F.when(is_array(F.try_variant_get(x, "$.issues", "variant")), F.try_variant_get(x, "$.issues", "array<variant>")).otherwise(F.array(x))))
     tickets = pages.select("id", F.posexplode(each).alias("k", "v")).filter(is_object(F.col("v"))).select(F.concat("id", F.lit("/"), F.col("k").cast("string")).alias("doc"), "v")
 
     def text(path: str, of: Column = v) -> Column:
@@ -59,7 +60,7 @@ def from_tables(tickets: DataFrame, comments: DataFrame) -> Tickets:
     """Normalised tables: of a ticket exported several times the latest row, of a comment delivered several times one."""
     ranked = tickets.filter("ticket_key is not null").groupBy(F.col("ticket_key").alias("doc")).agg(F.max_by(F.struct("src_system", "title", "description", "metadata"), F.struct("exported_at", "ticket_id")).alias("t"))
     heads = ranked.select("doc", F.coalesce("t.src_system", F.lit("unknown")).alias("source"), F.col("doc").alias("key"), "t.title", "t.description", "t.metadata", F.coalesce(F.col("t.metadata")["linkedIssues"], F.lit("")).alias("linked"))
-    once = comments.filter("ticket_key is not null and comment_id is not null").groupBy(F.col("ticket_key").alias("doc"), "comment_id").agg(F.min_by(F.struct("author", "created", "body", "bot"), "ingested_at").alias("c"))
+    once = comments.filter("ticket_key is not null and comment_id is not null").groupBy(F.col("ticket_key").alias("doc"), "comment_id").agg(F.min_by(F.struct("author", "created", "body", "bot"), F.struct(F.col("ingested_at").isNull(), "ingested_at", "author", "created", "body", "bot")).alias("c"))
     rows = numbered(once, "doc", "comment_id", "no").select("doc", "no", "c.author", "c.created", "c.body", F.coalesce("c.bot", F.lit(False)).alias("bot"))
     return Tickets(heads, rows)
 
