@@ -205,37 +205,27 @@ def is_decision(s: Column) -> Column:
     return s.rlike(vocab.words(vocab.DECISION)) | s.rlike(vocab.words(vocab.REJECTION))
 
 
-def extracts(text: Column) -> Column:
-    """What a block says: ``array<struct<j, list, category, text>>``, j being the place among its kind; risks and dependencies are one kind."""
-    said = sentences(text)
-
-    def rows(items: Column, name: str, category: str) -> Column:
-        return F.transform(items, lambda x, j: F.struct(j.alias("j"), F.lit(name).alias("list"), F.lit(category).alias("category"), x.alias("text")))
-
-    todo = F.transform(F.filter(said, lambda x: x.rlike(vocab.words(vocab.TODO))), lambda x: F.regexp_replace(x, r"(?i)^(?:todo|fixme)\s*[:\-]\s*", ""))
-    needs = lambda x: x.rlike(vocab.DEPENDENCY_PATTERN)
-    last = F.transform(
-        F.filter(said, lambda x: needs(x) | x.rlike(vocab.words(vocab.RISK))),
-        lambda x, j: F.struct(j.alias("j"), F.when(needs(x), "dependencies").otherwise("risks").alias("list"), F.when(needs(x), "DEPENDENCY").otherwise("RISK").alias("category"), x.alias("text")),
-    )
-    return F.concat(
-        rows(F.filter(said, is_decision), "decisions", "DECISION"),
-        rows(F.concat(section_items(text), scenarios(text)), "acceptanceCriteria", "ACCEPTANCE_CRITERIA"),
-        rows(F.filter(said, lambda x: x.rlike(vocab.words(vocab.REQUIREMENT))), "constraints", "CONSTRAINT"),
-        rows(todo, "todos", "TODO"),
-        last,
-    )
+def said(s: Column) -> dict[str, Column]:
+    """What a sentence may say, by name."""
+    needs = s.rlike(vocab.DEPENDENCY_PATTERN)
+    return {
+        "decisions": is_decision(s), "constraints": s.rlike(vocab.words(vocab.REQUIREMENT)), "todos": s.rlike(vocab.words(vocab.TODO)), "dependencies": needs, "risks": ~needs & s.rlike(vocab.words(vocab.RISK)),
+        "architecture": is_decision(s) & s.rlike(vocab.words(vocab.ARCHITECTURE)), "goal": s.rlike(vocab.words(vocab.GOAL_SENTENCE)),
+    }
 
 
-def is_architectural(text: Column) -> Column:
-    """Whether a sentence that decides something names a part of a system."""
-    return F.exists(sentences(text), lambda x: is_decision(x) & x.rlike(vocab.words(vocab.ARCHITECTURE)))
+def without_label(s: Column) -> Column:
+    """A to-do without the word that marks it."""
+    return F.regexp_replace(s, r"(?i)^(?:todo|fixme)\s*[:\-]\s*", "")
 
 
-def is_goal_block(text: Column) -> Column:
-    return text.rlike(vocab.words(vocab.GOAL_BLOCK))
+#: What a block with section items or scenarios holds somewhere, for a quick look before.
+_CRITERIA_CUE = rf"(?im)^\s*(?:h\d\.\s*|#{{1,6}}\s*|\*{{0,2}})\s*{vocab.alternation(vocab.SECTION)}\b|^\s*(?:[-*]\s*)?{vocab.alternation(vocab.GHERKIN)}\b\s"
 
 
-def goal_sentence(text: Column) -> Column:
-    """The first sentence that states a goal, or null."""
-    return F.get(F.filter(sentences(text), lambda x: x.rlike(vocab.words(vocab.GOAL_SENTENCE))), F.lit(0))
+def may_hold_criteria(text: Column) -> Column:
+    return text.rlike(_CRITERIA_CUE)
+
+
+def is_goal_block(text: Column) -> Column:
+    return text.rlike(vocab.words(vocab.GOAL_BLOCK))

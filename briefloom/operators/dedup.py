@@ -26,6 +26,7 @@ def _words(form: Column) -> Column:
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """``g, x, y`` where the form of ``inner`` (g, x, form, over ``T.CONTAINED`` characters) lies within that of ``outer``
     (g, y, form; y unique in g): the words within a contained text, but for the first and last, are words of the other."""
+    outer = outer.join(inner.select("g").distinct(), "g", "left_semi")
     words = outer.select("g", "y", F.explode(F.array_distinct(_words(F.col("form")))).alias("w"))
     counts = words.groupBy("g", "w").agg(F.count("*").alias("df"))
     long_ = inner.filter(F.size(_words(F.col("form"))) >= 3)
@@ -44,23 +45,39 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 def near_edges(items: DataFrame) -> DataFrame:
     """``g, a, b`` (a < b) of near-duplicates among ``items`` (``g`` group, ``n`` unique order in it, ``form``
-    distinct normal forms in it)."""
-    w = items.filter("form <> ''").select("g", "n", T.word_set(F.col("form")).alias("s")).select("g", "n", F.size("s").alias("m"), F.explode("s").alias("w"))
-    counts = w.groupBy("g", "w").agg(F.count("*").alias("df"))
-    # Sets with a Jaccard of 3/4 share one of their rarest ceil(n / 4) words (and one more when n divides); what stands in
-    # one text alone is shared by none.  A word further back leaves too few behind it for a pair that meets there first.
-    ranked = w.join(counts, ["g", "w"]).groupBy("g", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))  # of one text
-    prefix = ranked.select("g", "n", "m", F.posexplode(F.slice("ws", F.lit(1), (F.col("m") - F.ceil(F.col("m") * T.NEAR) + 1).cast("int"))).alias("at", "x")).filter("x.df > 1").select("g", "n", "m", "at", "x.w")
-    a, b = (prefix.select("g", F.col("n").alias(c), F.col("m").alias(f"m{c}"), F.col("at").alias(f"at{c}"), "w") for c in ("a", "b"))
+    distinct normal forms in it).
+
+    Words and texts go by hashes up to the candidates; what these join is compared as it is.
+    """
+    ws = _words(F.col("form"))
+    rows = items.filter("form <> ''").select("g", F.xxhash64("g", "n").alias("i"), "form", F.array_distinct(F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0)))).alias("inner"), F.array(ws[0], F.element_at(ws, -1)).alias("ends"))
+    rows = rows.withColumn("ends", F.array_except("ends", "inner"))
+    word = lambda inside: lambda x: F.struct(F.xxhash64(F.col("g"), x).alias("w"), F.lit(inside).alias("inside"))
+    words = rows.select("i", (F.size("inner") + F.size("ends")).alias("m"), F.when(F.length("form") > T.CONTAINED, F.size("inner")).otherwise(-1).alias("held"), F.explode(F.concat(F.transform("inner", word(True)), F.transform("ends", word(False)))).alias("x")).select("i", "m", "held", "x.w", "x.inside")
+    # What stands in one text alone joins nothing: it comes first in the order of rarity and is only counted.
+    counts = words.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = stored(words.join(counts, "w"))
+    per = stored(shared.groupBy("i", "m", "held").agg(F.array_sort(F.collect_list(F.struct("df", "w", "inside"))).alias("ws")))  # of one text
+    # Sets with a Jaccard of 3/4 share one of their rarest ceil(n / 4) words (and one more when n divides).  A word further
+    # back leaves too few behind it for a pair that meets there first.
+    alone = F.col("m") - F.size("ws")
+    lead = (F.col("m") - F.ceil(F.col("m") * T.NEAR) + 1 - alone).cast("int")
+    prefix = per.filter(lead > 0).select("i", "m", alone.alias("alone"), F.posexplode(F.slice("ws", F.lit(1), lead)).alias("at", "x")).select("i", "m", (F.col("at") + F.col("alone")).alias("at"), "x.w")
+    a, b = (prefix.select(F.col("i").alias(c), F.col("m").alias(f"m{c}"), F.col("at").alias(f"at{c}"), "w") for c in ("a", "b"))
     common = F.ceil((F.col("ma") + F.col("mb")) * T.NEAR / (1 + T.NEAR) - 1e-9)
     fits = (F.col("a") < F.col("b")) & (F.least("ma", "mb") >= T.NEAR * F.greatest("ma", "mb")) & (F.least(F.col("ma") - F.col("ata"), F.col("mb") - F.col("atb")) >= common)
-    alike = a.join(b, ["g", "w"]).filter(fits).select("g", "a", "b").distinct()
-    forms = items.select("g", "n", "form")
-    both = alike.join(forms.select("g", F.col("n").alias("a"), F.col("form").alias("fa")), ["g", "a"]).join(forms.select("g", F.col("n").alias("b"), F.col("form").alias("fb")), ["g", "b"])
-    similar = both.filter(T.jaccard(T.word_set(F.col("fa")), T.word_set(F.col("fb"))) >= T.NEAR).select("g", "a", "b")
-    long_ = forms.filter(F.length("form") > T.CONTAINED)
-    within = contained(long_.withColumnRenamed("n", "x"), long_.withColumnRenamed("n", "y")).filter("x <> y")
-    return similar.union(within.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    alike = a.join(b, "w").filter(fits).select("a", "b")
+    # All words within a contained text stand in the other one too, the rarest in few.
+    inside = F.filter("ws", lambda x: x["inside"])
+    rarest = per.filter((F.col("held") > 0) & (F.size(inside) == F.col("held"))).select(F.col("i").alias("a"), F.get(inside, F.lit(0))["w"].alias("w"))
+    within = rarest.join(shared.filter("held >= 0").select(F.col("i").alias("b"), "w"), "w").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = alike.union(within).distinct()
+    one = lambda g, i, n, f: items.select(F.col("g").alias(g), F.xxhash64("g", "n").alias(i), F.col("n").alias(n), F.col("form").alias(f))
+    both = pairs.join(one("g", "a", "na", "fa"), "a").join(one("gb", "b", "nb", "fb"), "b").filter(F.col("g") == F.col("gb"))
+    found = both.filter(T.near_duplicate(F.col("fa"), F.col("fb"))).select("g", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    long_ = items.filter(F.length("form") > T.CONTAINED).select("g", "n", "form")
+    short = contained(long_.filter(F.size(ws) < 3).withColumnRenamed("n", "x"), long_.withColumnRenamed("n", "y")).filter("x <> y")
+    return found.union(short.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def first_kept(edges: DataFrame) -> DataFrame:

@@ -118,11 +118,24 @@ class Briefs:
             out = stage.apply(out)
         return stored(out)
 
+    @cached_property
+    def sentences(self) -> DataFrame:
+        """``doc, n, j, text`` of kept paragraphs' sentences that say something, with a column for each thing that they may say."""
+        rows = self.kept.select("doc", "n", F.posexplode(T.sentences(F.col("text"))).alias("j", "text"))
+        flags = T.said(F.col("text"))
+        return stored(rows.select("*", *[c.alias(k) for k, c in flags.items()]).filter(" or ".join(flags)))
+
     @cached_property
     def extracts(self) -> DataFrame:
-        """``doc, n, j, list, category, text``, j being the place in the paragraph's list; constraints that an earlier or own
-        criterion covers are out."""
-        rows = stored(self.kept.select("doc", "n", F.explode(T.extracts(F.col("text"))).alias("x")).select("doc", "n", "x.j", "x.list", "x.category", "x.text"))
+        """``doc, n, j, list, category, text``, j being the sentence of the paragraph, or the place among its criteria;
+        constraints that an earlier or own criterion covers are out."""
+        names = list(_CATEGORY)
+        each = F.filter(F.array(*[F.when(F.col(f), F.lit(f)) for f in names if f != "acceptanceCriteria"]), lambda x: x.isNotNull())
+        rows = self.sentences.select("doc", "n", "j", F.explode(each).alias("list"), "text").withColumn("text", F.when(F.col("list") == "todos", T.without_label(F.col("text"))).otherwise(F.col("text")))
+        held = self.kept.filter(T.may_hold_criteria(F.col("text"))).select("doc", "n", F.posexplode(F.concat(T.section_items(F.col("text")), T.scenarios(F.col("text")))).alias("j", "text"))
+        rows = rows.union(held.select("doc", "n", "j", F.lit("acceptanceCriteria").alias("list"), "text"))
+        category = F.create_map(*[F.lit(x) for pair in _CATEGORY.items() for x in pair])
+        rows = stored(rows.select("doc", "n", "j", "list", category[F.col("list")].alias("category"), "text"))
         form = T.normal_form(F.col("text"))
         criteria = stored(rows.filter("list = 'acceptanceCriteria'").groupBy("doc", form.alias("form")).agg(F.min("n").alias("at")))
         limits = stored(rows.filter("list = 'constraints'").withColumn("form", form))
@@ -154,9 +167,10 @@ class Briefs:
     @cached_property
     def scored(self) -> DataFrame:
         """``doc, n, no, k, text, times, categories, score`` of kept paragraphs."""
-        said = self.extracts.groupBy("doc", "n").agg(F.collect_set("category").alias("said"))
+        built = self.sentences.filter("architecture").select("doc", "n", F.lit("ARCHITECTURE").alias("category"))
+        said = self.extracts.select("doc", "n", "category").union(built).groupBy("doc", "n").agg(F.collect_set("category").alias("said"))
         t = F.col("text")
-        tags = F.array_compact(F.array(F.when(T.is_architectural(t), "ARCHITECTURE"), F.when(T.is_goal_block(t), "BUSINESS_GOAL"), F.when(T.is_log_dump(t), "NOISE")))
+        tags = F.array_compact(F.array(F.when(T.is_goal_block(t), "BUSINESS_GOAL"), F.when(T.is_log_dump(t), "NOISE")))
         cats = F.concat(F.coalesce("said", F.array().cast("array<string>")), tags)
         rows = self.kept.join(said, ["doc", "n"], "left").withColumn("categories", F.array_sort(F.when(F.size(cats) == 0, F.array(F.lit("DISCUSSION"))).otherwise(cats))).drop("said")
         weights = _weights()
@@ -182,7 +196,8 @@ class Briefs:
         weight = F.create_map(*[x for f, c in _CATEGORY.items() for x in (F.lit(f), F.lit(vocab.WEIGHTS[c]))])
         listed = self.lists.select("*", _levels(self.levels).alias("l")).filter(F.element_at(weight, F.col("field")) >= F.col("l.threshold")).select("doc", "l.level", "field", "n", "text")
         summary = self.live.filter("no = 0").groupBy(*at).agg(F.min("n").alias("n"), F.min_by("text", "n").alias("text")).select(*at, F.lit("summary").alias("field"), "n", F.array_join(F.slice(T.sentences(F.col("text")), 1, 2), " ").alias("text"))
-        goal = self.live.withColumn("goal", T.goal_sentence(F.col("text"))).filter("goal is not null").groupBy(*at).agg(F.min("n").alias("n"), F.min_by("goal", "n").alias("text")).select(*at, F.lit("goal").alias("field"), "n", "text")
+        aims = self.sentences.filter("goal").select("doc", "n", "j", F.col("text").alias("aim"))
+        goal = self.live.join(aims, ["doc", "n"]).groupBy(*at).agg(F.min("n").alias("n"), F.min_by("aim", F.struct("n", "j")).alias("text")).select(*at, F.lit("goal").alias("field"), "n", "text")
         keys = self.live.select(*at, "no", "k", F.posexplode(T.issue_keys(F.col("text"))).alias("j", "text")).select(*at, _at(1, "no", "k", "j").alias("n"), "text")
         heads = self.heads.select("doc", "title", "linked", _levels(self.levels).alias("l")).select("*", "l.level")
         in_title = heads.select(*at, F.posexplode(T.issue_keys(F.col("title"))).alias("k", "text")).select(*at, _at(0, "k").alias("n"), "text")

@@ -194,14 +194,13 @@ def line_rules(table: str, keys: str, p: str) -> str:
 
 def _extracts() -> str:
     decides = f"({has('s', vocab.DECISION)} OR {has('s', vocab.REJECTION)})"
-    index = lambda order: f"(row_number() OVER (PARTITION BY doc, pos ORDER BY {order}) - 1)::INT AS j"
     return f"""se AS MATERIALIZED ({pieces("kp", "doc, pos", "s", sentence_list("text"), "i")}),
     {line_rules("kp", "doc, pos", "ac")},
-    raw AS MATERIALIZED (SELECT doc, pos, {index("i")}, 'decisions' AS list, 'DECISION' AS category, s AS text FROM se WHERE {decides}
-        UNION ALL SELECT doc, pos, {index("kind, i")}, 'acceptanceCriteria', 'ACCEPTANCE_CRITERIA', text FROM (SELECT doc, pos, 1 AS kind, i, text FROM ac_items UNION ALL SELECT doc, pos, 2, i, text FROM ac_runs)
-        UNION ALL SELECT doc, pos, {index("i")}, 'constraints', 'CONSTRAINT', s FROM se WHERE {has("s", vocab.REQUIREMENT)}
-        UNION ALL SELECT doc, pos, {index("i")}, 'todos', 'TODO', {re("s", "(?i)^(?:todo|fixme)" + _BLANKS + "*[:-]" + _BLANKS + "*", flags="")} FROM se WHERE {has("s", vocab.TODO)}
-        UNION ALL SELECT doc, pos, {index("i")}, CASE WHEN d THEN 'dependencies' ELSE 'risks' END, CASE WHEN d THEN 'DEPENDENCY' ELSE 'RISK' END, s FROM (SELECT *, {needs("s")} AS d FROM se) WHERE d OR {has("s", vocab.RISK)}),
+    raw AS MATERIALIZED (SELECT doc, pos, i AS j, 'decisions' AS list, 'DECISION' AS category, s AS text FROM se WHERE {decides}
+        UNION ALL SELECT doc, pos, (row_number() OVER (PARTITION BY doc, pos ORDER BY kind, i) - 1)::INT, 'acceptanceCriteria', 'ACCEPTANCE_CRITERIA', text FROM (SELECT doc, pos, 1 AS kind, i, text FROM ac_items UNION ALL SELECT doc, pos, 2, i, text FROM ac_runs)
+        UNION ALL SELECT doc, pos, i, 'constraints', 'CONSTRAINT', s FROM se WHERE {has("s", vocab.REQUIREMENT)}
+        UNION ALL SELECT doc, pos, i, 'todos', 'TODO', {re("s", "(?i)^(?:todo|fixme)" + _BLANKS + "*[:-]" + _BLANKS + "*", flags="")} FROM se WHERE {has("s", vocab.TODO)}
+        UNION ALL SELECT doc, pos, i, CASE WHEN d THEN 'dependencies' ELSE 'risks' END, CASE WHEN d THEN 'DEPENDENCY' ELSE 'RISK' END, s FROM (SELECT *, {needs("s")} AS d FROM se) WHERE d OR {has("s", vocab.RISK)}),
     crit AS (SELECT doc, {form("text")} AS f, min(pos) AS pos FROM raw WHERE list = 'acceptanceCriteria' GROUP BY 1, 2),
     ex AS MATERIALIZED (SELECT * FROM raw WHERE list <> 'constraints' UNION ALL SELECT doc, pos, j, list, category, text FROM (SELECT *, {form("text")} AS f FROM raw WHERE list = 'constraints') r
         WHERE NOT EXISTS (SELECT 1 FROM crit c WHERE c.doc = r.doc AND c.pos <= r.pos AND (contains(r.f, c.f) OR contains(c.f, r.f))))"""
