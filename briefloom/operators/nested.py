@@ -18,8 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of arrays below which no further child table is made; deeper values stay in their parent's variant.
-MAX_ARRAY_DEPTH = 8
+from .store import stored
 
 
 @dataclass
@@ -114,7 +113,7 @@ class NestedRecords:
     """
 
     def __init__(self, df: DataFrame, id_col: str, json_col: str):
-        self.records = df.select(F.col(id_col).alias("record_id"), parse_json_strict(F.col(json_col)).alias("v")).filter("v is not null")
+        self.records = stored(df.select(F.col(id_col).alias("record_id"), parse_json_strict(F.col(json_col)).alias("v")).filter("v is not null"))  # parsed once
         self._shape: Shape | None = None
 
     # ---- merged schema -------------------------------------------------------------------------------
@@ -134,10 +133,7 @@ class NestedRecords:
         if self._shape is None:
             got = self.records.agg(F.schema_of_variant_agg("v").alias("s")).first()[0]
             root = _parse_type(got) if got else Shape()
-            for _ in range(MAX_ARRAY_DEPTH):
-                mixed = self._mixed(root, ())
-                if not mixed:
-                    break
+            while mixed := self._mixed(root, ()):  # each round looks one level deeper at least
                 aggs = []
                 for k, (steps, _) in enumerate(mixed):
                     arrays = F.filter(self._values(steps), is_array)
@@ -172,13 +168,13 @@ class NestedRecords:
         """Paths of all array levels, e.g. ``$.issues[*].fields.labels[*]``."""
         out: list[str] = []
 
-        def walk(shape: Shape, at: str, depth: int) -> None:
-            for steps, items in self._arrays_below(shape) if depth < MAX_ARRAY_DEPTH else []:
+        def walk(shape: Shape, at: str) -> None:
+            for steps, items in self._arrays_below(shape):
                 path = at + "".join(map(_step, steps)) + "[*]"
                 out.append(path)
-                walk(items, path, depth + 1)
+                walk(items, path)
 
-        walk(self.shape, "$", 0)
+        walk(self.shape, "$")
         return out
 
     # ---- nodes ---------------------------------------------------------------------------------------
@@ -202,41 +198,41 @@ class NestedRecords:
         def node(key, parent, path, ordinal, v, own):
             return F.struct(key.alias("node_key"), parent.alias("parent_key"), F.lit(path).alias("path"), ordinal.cast("int").alias("ord"), v.alias("value"), *[own[k].alias(k) for k in carry])
 
-        def element(items: Shape, at: str, label: str, key: Column, own: dict[str, Column], depth: int):
+        def element(items: Shape, at: str, label: str, key: Column, own: dict[str, Column]):
             def each(x, i):
                 k = F.concat(key, F.lit(label), i.cast("string"), F.lit("]"))
                 mine = inherit(x, at, own)
-                return F.concat(F.array(node(k, key, at, i, x, mine)), *below(items, x, at, k, mine, depth + 1))
+                return F.concat(F.array(node(k, key, at, i, x, mine)), *below(items, x, at, k, mine))
 
             return each
 
-        def below(shape: Shape, v: Column, path: str, key: Column, own: dict[str, Column], depth: int) -> list[Column]:
+        def below(shape: Shape, v: Column, path: str, key: Column, own: dict[str, Column]) -> list[Column]:
             out = []
-            for steps, items in self._arrays_below(shape) if depth < MAX_ARRAY_DEPTH else []:
+            for steps, items in self._arrays_below(shape):
                 step = "".join(map(_step, steps))
                 at, label = f"{path}{step}[*]", "/" + step.lstrip(".") + "["
                 got = F.try_variant_get(v, "$" + step, "array<variant>") if steps else F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>"))
 
-                rows = F.flatten(F.transform(got, element(items, at, label, key, own, depth)))
+                rows = F.flatten(F.transform(got, element(items, at, label, key, own)))
                 out.append(F.coalesce(rows, F.filter(F.array(node(key, key, at, F.lit(0), v, own)), lambda _: F.lit(False))))
             return out
 
         key = F.col("record_id").cast("string")
         own = inherit(F.col("v"), "$", dict.fromkeys(carry, none))
-        parts = [F.array(node(key, none, "$", F.lit(0), F.col("v"), own)), *below(self.shape, F.col("v"), "$", key, own, 0)]
+        parts = [F.array(node(key, none, "$", F.lit(0), F.col("v"), own)), *below(self.shape, F.col("v"), "$", key, own)]
         return self.records.select("record_id", F.explode(F.concat(*parts)).alias("n")).select("record_id", "n.*")
 
     def tables(self) -> dict[str, DataFrame]:
         """The related flat tables by path: the records and each array level, with the scalar fields of their
         objects as columns (``assignee.displayName`` becomes ``assignee_displayName``), bare elements as
         ``value`` and, on every row, ``record_id, node_key, parent_key, ord``."""
-        nodes, out = self.nodes(), {}
+        nodes, out = stored(self.nodes()), {}  # one pass over the records for all tables
 
         def scalars(shape: Shape, steps: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], str | None]]:
             own = [(steps, shape.scalar)] if shape.scalar or not (shape.fields or shape.items) else []
             return own + [x for k, s in shape.fields.items() for x in scalars(s, (*steps, k))]
 
-        def walk(shape: Shape, at: str, depth: int) -> None:
+        def walk(shape: Shape, at: str) -> None:
             names: dict[str, Column] = {}
             for steps, kind in scalars(shape):
                 name = base = "_".join(steps) or "value"
@@ -247,10 +243,10 @@ class NestedRecords:
                 at_step = "$" + "".join(map(_step, steps))
                 names[name] = text_at(F.col("value"), at_step) if kind in (None, "STRING") else F.try_variant_get("value", at_step, kind)
             out[at] = nodes.filter(F.col("path") == at).select("record_id", "node_key", "parent_key", "ord", *[c.alias(n) for n, c in names.items()])
-            for steps, items in self._arrays_below(shape) if depth < MAX_ARRAY_DEPTH else []:
-                walk(items, at + "".join(map(_step, steps)) + "[*]", depth + 1)
+            for steps, items in self._arrays_below(shape):
+                walk(items, at + "".join(map(_step, steps)) + "[*]")
 
-        walk(self.shape, "$", 0)
+        walk(self.shape, "$")
         return out
 
 

@@ -39,6 +39,31 @@ def test_nested_children(spark):
     assert nested.ticket_children(df.limit(0)).count() == 0
 
 
+def test_arrays_of_any_depth(spark):
+    """Twelve levels, and a place that is an array, an object or a scalar from level to level."""
+    deep = "x"
+    for k in range(12):
+        deep = [deep] if k % 2 else [{"a": deep}, {"a": {"b": [k]}}, k]
+    df = spark.createDataFrame([(1, json.dumps({"r": deep}))], "raw_id long, payload string")
+    records = nested.NestedRecords(df, "raw_id", "payload")
+    want = []
+
+    def walk(v, path):
+        if isinstance(v, dict):
+            for k, x in v.items():
+                walk(x, f"{path}.{k}")
+        elif isinstance(v, list):
+            for x in v:
+                want.append(f"{path}[*]")
+                walk(x, f"{path}[*]")
+
+    walk({"r": deep}, "$")
+    assert max(p.count("[*]") for p in want) >= 12
+    got = [r["path"] for r in records.nodes().collect() if r["path"] != "$"]
+    assert sorted(got) == sorted(want) and set(records.array_paths()) == set(want)
+    assert sum(t.count() for t in records.tables().values()) == len(want) + 1
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
