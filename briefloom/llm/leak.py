@@ -8,12 +8,14 @@ every stretch are dropped.  What is left is verified by banded alignment, and th
 reported too.
 
 The items are the small side: they go to all tasks in blocks of ``BLOCK`` characters, one pass over the corpus each,
-whatever their number; a corpus document is read once a block, whole, and never meets other documents.
+whatever their number, and are indexed there, once a process; a corpus document is read once a block, whole, and never
+meets other documents.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
 from ._hashing import Prefix, chunks, codepoints
 
 #: Characters in a q-gram.
@@ -39,19 +42,26 @@ def stream(text: str) -> str:
 
 
 class Items:
-    """The q-grams of a block of items, sorted by hash."""
+    """The q-grams of a block of items, sorted by hash.
 
-    def __init__(self, ids: list[int], texts: list[str], least_words: int, max_edits: int):
+    ``shortest`` is the least number of characters of a passage that counts: of ``least_words`` words of the item itself
+    (``own``), or of that many words of one character each.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], least_words: int, max_edits: int, own: bool):
         self.ids, self.streams = ids, [stream(x) for x in texts]
-        self.words = [x.split() for x in self.streams]
         self.least, self.edits = least_words, max_edits
-        hashes, items, places = [], [], []
+        hashes, items, places, shortest = [], [], [], []
         for k, s in enumerate(self.streams):
-            if len(self.words[k]) >= least_words:
+            blanks = np.flatnonzero(np.frombuffer(s.encode("ascii"), np.uint8) == 32)
+            fits = len(blanks) > least_words
+            shortest.append(int((blanks[least_words:] - blanks[:-least_words]).min()) + 1 if own and fits else 2 * least_words + 1)
+            if fits:
                 h = Prefix(codepoints(s)).every(Q)
                 hashes.append(h)
                 items.append(np.full(len(h), k, np.int32))
                 places.append(np.arange(len(h), dtype=np.int32))
+        self.shortest = np.array(shortest, np.int64)
         self.h = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(self.h, kind="stable")
         self.h = self.h[order]
@@ -61,8 +71,6 @@ class Items:
         self.bits = max(16, int(np.ceil(np.log2(len(self.h) * 32 + 1))))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        # The shortest passage: the least number of words, of one character each at worst.
-        self.shortest = 2 * least_words + 1
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in the document, item and place in the item of every q-gram in common."""
@@ -75,17 +83,15 @@ class Items:
         return at[each], self.item[entry], self.place[entry]
 
 
-def _longest_run(a: list[str], b: list[str]) -> int:
-    """Words in the longest run that both lists hold."""
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        new = [0] * (len(b) + 1)
-        for j, y in enumerate(b):
-            if x == y:
-                new[j + 1] = row[j] + 1
-        best = max(best, max(new))
-        row = new
-    return best
+#: The index of the last block in this process, by the block's name.
+_indexed: dict[str, Items] = {}
+
+
+def _index(name: str, *block) -> Items:
+    if name not in _indexed:
+        _indexed.clear()
+        _indexed[name] = Items(*block)
+    return _indexed[name]
 
 
 def banded_alignment(a: str, b: str, band: int) -> tuple[int, int]:
@@ -121,20 +127,35 @@ def _back(eq: np.ndarray) -> np.ndarray:
     return n - np.maximum.accumulate(np.r_[0, np.where(eq, 0, n[1:])])
 
 
-def stretches(a: str, b: str, band: int, shortest: int, most: int) -> list[tuple[int, int]]:
+def _matches(a: str, b: str, band: int) -> np.ndarray:
+    """For each diagonal within ``band`` of the main one and each place of ``a`` the length of the equal run that ends there;
+    the main diagonal begins at the place ``band`` of ``b``."""
+    x, y = np.frombuffer(a.encode("ascii"), np.uint8), np.frombuffer(b.encode("ascii"), np.uint8)
+    n = len(x)
+    padded = np.zeros(n + 2 * band, np.uint8)  # no character of a stream
+    padded[: min(len(y), len(padded))] = y[: len(padded)]
+    return np.array([_back(x == padded[d : d + n]) for d in range(2 * band + 1)])
+
+
+def longest_run(a: str, runs: np.ndarray) -> int:
+    """Whole words in the longest equal run: those between two of its blanks."""
+    blanks = np.flatnonzero(np.frombuffer(a.encode("ascii"), np.uint8) == 32)
+    if not len(blanks):
+        return 0
+    held = runs[:, blanks + 1]  # runs that end with a blank
+    first = np.searchsorted(blanks, blanks[None, :] + 1 - held)
+    return int(np.where(held > 0, np.arange(len(blanks))[None, :] - first, 0).max())
+
+
+def stretches(a: str, b: str, band: int, shortest: int, most: int, runs: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Parts of ``a`` of which every place lies in a stretch of ``shortest`` characters or more that matches ``b``, within
     ``band`` of the main diagonal, with ``most`` edits or fewer.
 
     From each end the matches are followed back as far as they go, then one edit is spent, and so on.
     """
-    x, y = np.frombuffer(a.encode("ascii"), np.uint8), np.frombuffer(b.encode("ascii"), np.uint8)
-    n, width = len(x), 2 * band + 1
-    i = np.arange(n + 1)
-    runs = []
-    for d in range(-band, band + 1):
-        j = np.arange(n) + d
-        runs.append(_back((j >= 0) & (j < len(y)) & (x == y[np.clip(j, 0, len(y) - 1)])))
-    runs = np.array(runs)
+    runs = _matches(a, "\0" * band + b, band) if runs is None else runs
+    width = len(runs)
+    i = np.arange(len(a) + 1)
     reach = runs
     for _ in range(most):
         new = np.empty_like(reach)
@@ -159,62 +180,81 @@ def stretches(a: str, b: str, band: int, shortest: int, most: int) -> list[tuple
 
 
 def least_edits(a: str, b: str, band: int) -> int:
-    """The fewest edits of ``a`` against a part of ``b`` within ``band`` of the main diagonal."""
-    old = [0] * (2 * band + 1)
-    for i in range(1, len(a) + 1):
-        new: list[int] = []
-        for d in range(2 * band + 1):
-            j = i + d - band
-            got = [old[d] + (not 1 <= j <= len(b) or a[i - 1] != b[j - 1])]
-            if d < 2 * band:
-                got.append(old[d + 1] + 1)
-            if d:
-                got.append(new[d - 1] + 1)
-            new.append(min(got))
-        old = new
-    return min(old)
-
-
-def _bands(items: Items):
-    """(doc_id, text) to (doc_id, item_id, start_word, run_words, matched_chars, edits): verified regions."""
-    e, shortest = items.edits, items.shortest
-    width, step = 2 * e + 1, max(e, 1)
-
-    def regions(doc: np.ndarray, place: np.ndarray, item: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, diagonal) of the bands that hold enough q-grams somewhere."""
-        need = max(1, shortest - Q + 1 - e * Q)
-        out: set[tuple[int, int, int]] = set()
-        for shift in range(0, width, step) if e else (0,):
-            band = (place.astype(np.int64) - at + (1 << 40) + shift) // max(width, 1)
-            order = np.lexsort((place, band, item, doc))
-            d, i, b, p = doc[order], item[order], band[order], place[order]
+    """The fewest edits of ``a`` against a part of ``b``, which holds no more than ``band`` characters besides.
+
+    A column of the distance table is two bit vectors, of where it goes up and where down.
+    """
+    if not a:
+        return 0
+    where: dict[str, int] = {}
+    for k, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | 1 << k
+    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = mask, 0, len(a)
+    best = score
+    for ch in b:
+        eq = where.get(ch, 0)
+        flat = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | (mask & ~(flat | up)), up & flat
+        score += bool(rise & top) - bool(fall & top)
+        best = min(best, score)
+        rise, fall = rise << 1 & mask, fall << 1 & mask  # a passage may begin anywhere in b
+        up, down = fall | (mask & ~(eq | down | rise)), rise & (eq | down)
+    return best
+
+
+def _bands(name: str, *block):
+    """(doc_id, text) to (doc_id, item_id, start_word, run_words, matched_chars, edits): verified regions of a block of items."""
+
+    def regions(items: Items, doc: np.ndarray, place: np.ndarray, item: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, least and greatest diagonal) of the bands that hold enough q-grams, overlapping ones as one."""
+        e = items.edits
+        width, least = 2 * e + 1, np.maximum(1, items.shortest - Q + 1 - e * Q)
+        out: dict[tuple[int, int], list[int]] = {}
+        diagonal = place.astype(np.int64) - at
+        base = int(diagonal.min()) - width
+        for shift in range(width):
+            band = (diagonal - base + shift) // width
+            order = np.lexsort((band, item, doc))
+            d, i, b = doc[order], item[order], band[order]
             start = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
             count = np.diff(np.r_[start, len(d)])
-            for k in np.flatnonzero(count >= need):
-                out.add((int(d[start[k]]), int(i[start[k]]), int(b[start[k]]) * max(width, 1) - shift - (1 << 40)))
-        return out
-
-    def verify(doc_stream: str, item: int, diagonal: int) -> list[tuple[int, int, int, int]]:
-        """Start word, longest run of equal words, matched characters and edits of the passages around one diagonal."""
-        own = items.streams[item]
-        lo, hi = max(0, diagonal - e), min(len(doc_stream), diagonal + width + len(own) + e)
-        there = doc_stream[lo:hi]
-        # Whole words only at both ends.
-        cut_a = 0 if lo == 0 else there.find(" ") + 1
-        words = there[cut_a:].split(" ") if hi == len(doc_stream) else there[cut_a:].split(" ")[:-1]
-        run = _longest_run(items.words[item], [w for w in words if w])
+            for k in start[count >= least[i[start]]]:
+                out.setdefault((int(d[k]), int(i[k])), []).append(int(b[k]) * width - shift + base)
+        merged = []
+        for (d, i), lows in out.items():
+            lows.sort()
+            lo = hi = lows[0]
+            for x in lows[1:]:
+                if x > hi + width or x > lo + 8 * width:
+                    merged.append((d, i, lo, hi + width - 1))
+                    lo = x
+                hi = x
+            merged.append((d, i, lo, hi + width - 1))
+        return merged
+
+    def verify(items: Items, doc_stream: str, item: int, lo: int, hi: int) -> list[tuple[int, int, int, int]]:
+        """Start word, longest run of equal words, matched characters and edits of the passages between two diagonals."""
+        e, own = items.edits, items.streams[item]
+        skip = max(0, -hi)  # an item may begin before the document
+        own = own[skip:]
+        middle, band = (lo + hi) // 2 + skip, (hi - lo + 1) // 2 + 2 * e
+        start = max(0, middle - band)
+        near = "\0" * (start - middle + band) + doc_stream[start : middle + len(own) + band]
+        runs = _matches(own, near, band)
+        run = longest_run(own, runs)
         if e == 0:
-            return [(doc_stream.count(" ", 0, lo), run, len(own), 0)] if run >= items.least else []
-        own, near = own[max(0, -diagonal) :], doc_stream[max(0, diagonal) : hi]  # an item may begin before the document
+            words = doc_stream.count(" ", 0, max(0, middle))
+            return [(words, run, len(own), 0)] if run >= items.least else []
         out = []
-        for x, y in stretches(own, near, width, shortest, e):
-            edits = least_edits(own[x:y], near[max(0, x - width) : y + width], width + min(x, width))
-            out.append((doc_stream.count(" ", 0, max(0, diagonal) + x), run, y - x, edits))
+        for x, y in stretches(own, near, band, int(items.shortest[item]), e, runs):
+            out.append((doc_stream.count(" ", 0, max(0, middle + x)), run, y - x, least_edits(own[x:y], near[x : y + 2 * band], band)))
         if not out and run >= items.least:
-            out.append((doc_stream.count(" ", 0, lo), run, *banded_alignment(own, near, width)))
+            out.append((doc_stream.count(" ", 0, max(0, middle)), run, *banded_alignment(own, near[band:], band)))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items = _index(name, *block)
         for pdf in batches:
             ids, streams = pdf["doc_id"].to_numpy(), [stream(x) for x in pdf["text"]]
             rows = []
@@ -227,20 +267,23 @@ def _bands(items: Items):
                 doc = np.searchsorted(ends, place, "right")
                 inside = place + Q <= ends[doc]
                 doc, place, item, at = doc[inside], place[inside], item[inside], at[inside]
+                if not len(place):
+                    continue
                 starts = np.concatenate([[0], ends[:-1]])
-                for d, i, diagonal in regions(doc, place - starts[doc], item, at):
-                    rows += [(int(ids[a + d]), items.ids[i], *got) for got in verify(part[d], i, diagonal)]
+                for d, i, lo, hi in regions(items, doc, place - starts[doc], item, at):
+                    rows += [(int(ids[a + d]), items.ids[i], *got) for got in verify(items, part[d], i, lo, hi)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "run_words", "matched_chars", "edits"])
 
     return run
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = 13, max_edits: int = 0) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = 13, max_edits: int = 0, own: bool = False) -> DataFrame:
     """Passages of items in documents: ``doc_id, item_id, start_word, run_words, matched_chars, edits``, a row for each
     region found.
 
     With ``max_edits`` 0 a region is a run of ``least_words`` or more equal words; otherwise also a stretch of at least
-    ``2 * least_words + 1`` characters with that many edits for each such length.  Rows without id or text are ignored, as are items shorter than
+    ``2 * least_words + 1`` characters with that many edits for each such length; with ``own`` the length is that of the
+    item's shortest run of ``least_words`` words instead.  Rows without id or text are ignored, as are items shorter than
     ``least_words``; repeated rows give repeated regions.  Other columns are ignored, whatever their names.
     """
     if max_edits and 2 * least_words + 1 - Q + 1 - max_edits * Q < 1:
@@ -251,24 +294,28 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     out, ids, texts, size = [], [], [], 0
     schema = "doc_id long, item_id long, start_word int, run_words int, matched_chars int, edits int"
 
-    def one_pass() -> None:
-        out.append(corpus.mapInPandas(_bands(Items(list(ids), list(texts), least_words, max_edits)), schema))
+    def one_pass() -> DataFrame:
+        return corpus.mapInPandas(_bands(uuid.uuid4().hex, list(ids), list(texts), least_words, max_edits, own), schema)
 
     for row in held.toLocalIterator():  # a partition at a time, a block at a time
         if ids and size + len(row["text"]) > BLOCK:
-            one_pass()
+            out.append(stored(one_pass()))  # done at once, so that the driver holds one block
             ids, texts, size = [], [], 0
         ids.append(row["item_id"])
         texts.append(row["text"])
         size += len(row["text"])
-    if ids or not out:
-        one_pass() if ids else out.append(spark.createDataFrame([], schema))
+    out.append(one_pass() if ids else spark.createDataFrame([], schema))
     result = out[0]
     for x in out[1:]:
         result = result.union(x)
     return result
 
 
-def leaked_documents(docs: DataFrame, items: DataFrame, least_words: int = 13) -> DataFrame:
-    """``doc_id, item_id`` for each document that holds ``least_words`` consecutive words of an item, distinct."""
-    return leaked_passages(docs, items, least_words=least_words).filter(F.col("run_words") >= least_words).select("doc_id", "item_id").distinct()
+def leaked_documents(docs: DataFrame, items: DataFrame, least_words: int = 13, max_edits: int = 1) -> DataFrame:
+    """``doc_id, item_id`` for each document that holds ``least_words`` consecutive words of an item, distinct.
+
+    Candidates are the regions within the edit budget that are as long as such words of the item; an exact run of words
+    in one is what counts.
+    """
+    found = leaked_passages(docs, items, least_words=least_words, max_edits=max_edits, own=True)
+    return found.filter(F.col("run_words") >= least_words).select("doc_id", "item_id").distinct()
