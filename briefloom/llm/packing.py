@@ -2,7 +2,7 @@
 
 Sizes are tokens of a public tokenizer (or the estimate of four characters a token).  A document longer than a
 container is cut into full containers and a rest; everything else stays whole.  Items are spread by a hash over parts
-of a bounded number of items, and each part is packed by vector best fit, largest first: a container has residual
+of a bounded number of items, and each part is packed by vector best fit, largest first with the small ones among them: a container has residual
 capacities of tokens, documents and attention cost (the sum of squared lengths), and an item goes to the open container
 that fits it under all three and scores best, by the weighted dot product of its demand with the residuals or by the
 weighted norm of what would be left.  A part's last containers are all that can stay partly empty, so that the loss
@@ -102,17 +102,27 @@ def best_fit(sizes: np.ndarray, capacity: int, most_docs: int, most_cost: float,
     return out
 
 
+def mixed(sizes: np.ndarray, ids: np.ndarray, some: np.ndarray, small: float) -> np.ndarray:
+    """Some items in the order of packing: largest first, but those below the size that would fill a container with as many
+    documents as it takes spread evenly among the others, smallest first, so that every container gets its share of them."""
+    order = some[np.lexsort((ids[some], -sizes[some]))]
+    large, little = order[sizes[order] >= small], order[sizes[order] < small][::-1]
+    place = np.r_[np.arange(len(large)), np.ceil((np.arange(len(little)) + 1) * (len(large) / max(1, len(little)))) - 0.5]
+    return np.r_[large, little][np.argsort(place, kind="stable")]
+
+
 def packed(sizes: DataFrame, capacities: list[tuple[int, int]], most_docs: int | None = None, cost_factor: float = 1.0, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm") -> DataFrame:
     """An assignment of all documents for each capacity: ``pack_id, container, doc_id, piece, start_token, n_tokens``.
 
     ``sizes`` is ``doc_id, n_tokens``; ``capacities`` is (pack_id, tokens), positive and distinct.  A container takes
-    ``most_docs`` pieces (capacity / 8 by default) and an attention cost of ``cost_factor * capacity ** 2``.  Documents
-    without tokens are placed too; an empty table gives no rows.  The result depends on ids and sizes alone.
+    ``most_docs`` pieces (capacity / 8 by default) and an attention cost, the sum of squared lengths, of ``cost_factor * capacity ** 2``: from 1 on
+    that leaves the tokens to decide, below it long pieces get fewer others beside them, and one that exceeds it alone has a
+    container of its own.  Documents without tokens are placed too; an empty table gives no rows.  The result depends on ids and sizes alone.
     """
     if len(capacities) > MOST_CAPACITIES or any(c <= 0 for _, c in capacities):
         raise ValueError(f"capacities must be positive, {MOST_CAPACITIES} at most")
-    if not 0 < cost_factor:
-        raise ValueError("cost_factor must be positive")
+    if not 0 < cost_factor or (most_docs is not None and most_docs < 1):
+        raise ValueError("cost_factor must be positive, most_docs 1 at least")
     sizes = stored(sizes.select("doc_id", "n_tokens"))
     parts = max(1, math.ceil(sizes.count() / PART))
     packs = F.array(*[F.struct(F.lit(int(p)).alias("pack_id"), F.lit(int(c)).cast("long").alias("capacity")) for p, c in capacities])
@@ -120,12 +130,13 @@ def packed(sizes: DataFrame, capacities: list[tuple[int, int]], most_docs: int |
 
     def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
         capacity, pack, part = int(pdf["capacity"].iloc[0]), int(pdf["pack_id"].iloc[0]), int(pdf["part"].iloc[0])
+        docs = most_docs or max(1, capacity // 8)
         ids, n = pdf["doc_id"].to_numpy(), pdf["n_tokens"].to_numpy()
         full = np.where(n > capacity, n // capacity, 0)
         rest = n - full * capacity
         some = np.flatnonzero((rest > 0) | (n == 0))
-        order = some[np.lexsort((ids[some], -rest[some]))]
-        bins = best_fit(rest[order], capacity, most_docs or max(1, capacity // 8), cost_factor * capacity**2, weights, rule)
+        order = mixed(rest, ids, some, capacity / docs)
+        bins = best_fit(rest[order], capacity, docs, cost_factor * capacity**2, weights, rule)
         whole = np.repeat(np.arange(len(ids)), full)
         piece = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
         made = int(bins.max()) + 1 if len(bins) else 0
@@ -145,3 +156,15 @@ def fill(assignment: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     per = assignment.groupBy("pack_id", "container").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).groupBy("pack_id").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("t").alias("used_tokens"))
     table = F.create_map(*[x for p, c in capacities for x in (F.lit(int(p)), F.lit(int(c)).cast("long"))])
     return per.withColumn("capacity_tokens", table[F.col("pack_id")]).select("pack_id", "capacity_tokens", "n_containers", "n_pieces", "used_tokens", (F.col("used_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def limits(assignment: DataFrame, capacities: list[tuple[int, int]], most_docs: int, cost_factor: float) -> DataFrame:
+    """How an assignment keeps its limits: ``pack_id, n_documents, n_tokens, n_over_tokens, n_over_docs, n_over_cost`` for each
+    capacity, the last three counting containers beyond a limit."""
+    table = F.create_map(*[x for p, c in capacities for x in (F.lit(int(p)), F.lit(int(c)).cast("long"))])
+    n = F.col("n_tokens").cast("double")
+    per = assignment.groupBy("pack_id", "container").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.sum(n * n).alias("cost")).withColumn("c", table[F.col("pack_id")])
+    over = lambda what: F.count(F.when(what, True))
+    kept = per.groupBy("pack_id").agg(F.sum("t").alias("n_tokens"), over(F.col("t") > F.col("c")).alias("n_over_tokens"), over(F.col("n") > most_docs).alias("n_over_docs"), over((F.col("n") > 1) & (F.col("cost") > cost_factor * F.col("c") * F.col("c"))).alias("n_over_cost"))
+    docs = assignment.select("pack_id", "doc_id").distinct().groupBy("pack_id").agg(F.count("*").alias("n_documents"))
+    return docs.join(kept, "pack_id")

@@ -28,10 +28,28 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.name_gazetteer(read(spark, sf_dir, "ticket_comments"), "author")
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+#: Documents that a container takes; these, and the share of its squared capacity, where attention is to bind too.
+_DOCS = 64
+_BOUND = {"most_docs": 32, "cost_factor": 0.5}
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
     rows = read(spark, sf_dir, "pack_sizes").filter("pack_id is not null and capacity_tokens > 0").distinct().orderBy("pack_id").limit(packing.MOST_CAPACITIES + 1).collect()
-    capacities = [(r["pack_id"], r["capacity_tokens"]) for r in rows]  # packed() refuses more than the limit
-    return packing.packed(packing.token_counts(read(spark, sf_dir, "documents")), capacities), capacities
+    return [(r["pack_id"], r["capacity_tokens"]) for r in rows]  # packed() refuses more than the limit
+
+
+def _packed(spark: SparkSession, sf_dir: str, counts: Callable[[DataFrame], DataFrame] = packing.token_counts, **limits) -> DataFrame:
+    return packing.packed(counts(read(spark, sf_dir, "documents")), _capacities(spark, sf_dir), **limits)
+
+
+def _placed(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    """How often and with how many tokens each document is placed, by the estimate of its tokens."""
+    got = _packed(spark, sf_dir, packing.estimated_counts, rule=rule, **_BOUND)
+    return got.groupBy("pack_id", "doc_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _limits(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    return packing.limits(_packed(spark, sf_dir, packing.estimated_counts, rule=rule, **_BOUND), _capacities(spark, sf_dir), **_BOUND)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -45,8 +63,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_new_text": lambda s, d: mail.newly_written(read(s, d, "ticket_comments")).select("id", "new_text"),
         "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.Runs(F.col("body")), 0.75, 30),
         "p5_groups": lambda s, d: neardup.near_groups(_comments(s, d), "comment_id", neardup.Runs(F.col("body")), 0.75, 30),
-        "p6_packed": lambda s, d: _packed(s, d)[0],
-        "p6_fill": lambda s, d: packing.fill(*_packed(s, d)),
+        "p6_packed": lambda s, d: _packed(s, d, most_docs=_DOCS),
+        "p6_packed_bound": lambda s, d: _packed(s, d, **_BOUND),
+        "p6_packed_bound_dot": lambda s, d: _packed(s, d, rule="dot", **_BOUND),
+        "p6_fill": lambda s, d: packing.fill(_packed(s, d, most_docs=_DOCS), _capacities(s, d)),
+        "p6_fill_bound": lambda s, d: packing.fill(_packed(s, d, **_BOUND), _capacities(s, d)),
+        "p6_fill_bound_dot": lambda s, d: packing.fill(_packed(s, d, rule="dot", **_BOUND), _capacities(s, d)),
+        "p6_placed": lambda s, d: _placed(s, d, "norm"),
+        "p6_placed_dot": lambda s, d: _placed(s, d, "dot"),
+        "p6_limits": lambda s, d: _limits(s, d, "norm"),
+        "p6_limits_dot": lambda s, d: _limits(s, d, "dot"),
         "p7_found": lambda s, d: leak.leaked_documents(read(s, d, "documents"), read(s, d, "eval_items")),
         "p7_passages": lambda s, d: leak.leaked_passages(read(s, d, "documents"), read(s, d, "eval_items"), least_words=20, max_edits=1),
         "p8_found": lambda s, d: spans.shared_spans(read(s, d, "documents")),

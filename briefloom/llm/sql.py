@@ -37,5 +37,30 @@ P7 = """WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+')
     gd AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d))
     SELECT DISTINCT doc_id, item_id FROM gd JOIN gi USING (g)"""
 
+P5_GROUPS = f"""WITH RECURSIVE {P5[5 : P5.index("l AS (")]}
+    e AS MATERIALIZED (SELECT ka AS x, kb AS y FROM p UNION ALL SELECT kb, ka FROM p),
+    r AS (SELECT k AS node, k AS root FROM s UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+    c2 AS (SELECT node AS k, min(root) AS root FROM r GROUP BY 1),
+    g AS (SELECT c2.root, min(m.id) AS group_id FROM m JOIN c2 USING (k) GROUP BY 1)
+    SELECT m.id, g.group_id, coalesce((SELECT count(*) FROM e WHERE e.x = m.k), 0) AS n_links, (SELECT count(*) FROM m y WHERE y.k = m.k) AS n_copies FROM m JOIN c2 USING (k) JOIN g USING (root)"""
+
+#: Documents by the estimate, what the packing must place of each, and what no container may exceed.
+_SIZES = "d AS (SELECT doc_id, max(coalesce(ceil(length(text) / 4.0), 0))::BIGINT AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY 1), k AS (SELECT DISTINCT pack_id, capacity_tokens AS c FROM pack_sizes WHERE pack_id IS NOT NULL AND capacity_tokens > 0)"
+P6_PLACED = f"WITH {_SIZES} SELECT pack_id, doc_id, greatest(1, ceil(n / c::DOUBLE))::BIGINT AS n_pieces, n AS n_tokens FROM d, k"
+P6_LIMITS = f"WITH {_SIZES} SELECT pack_id, count(*) AS n_documents, sum(n)::BIGINT AS n_tokens, 0::BIGINT AS n_over_tokens, 0::BIGINT AS n_over_docs, 0::BIGINT AS n_over_cost FROM d, k GROUP BY pack_id"
+
+#: All windows of 400 characters by their MD5 number, cut from parts of 1,000 starts each so that long texts stay linear.
+_SHARED = """docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 400),
+    parts AS (SELECT doc_id, c * 1000 AS base, substring(text, c * 1000 + 1, 1399) AS part FROM (SELECT *, unnest(range((length(text) + 999) // 1000)) AS c FROM docs)),
+    w AS MATERIALIZED (SELECT doc_id, base + j AS pos, md5_number(substring(part, j, 400)) AS h FROM (SELECT *, unnest(range(1, least(1000, length(part) - 399) + 1)) AS j FROM parts)),
+    hit AS MATERIALIZED (SELECT w.doc_id, w.pos FROM w SEMI JOIN (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) r ON r.h = w.h),
+    isl AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 400 THEN 0 ELSE 1 END AS fresh FROM hit)),
+    sp AS MATERIALIZED (SELECT doc_id, (min(pos) - 1)::INT AS start_pos, (max(pos) - min(pos) + 400)::INT AS n_chars FROM isl GROUP BY doc_id, island)"""
+P8 = f"WITH {_SHARED} SELECT * FROM sp"
+P8_SHARE = f"""WITH {_SHARED}, n AS (SELECT doc_id, max(length(text))::BIGINT AS n_chars FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+    x AS (SELECT doc_id, count(*) AS n_spans, sum(n_chars)::BIGINT AS shared_chars FROM sp GROUP BY 1)
+    SELECT doc_id, n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0)::DOUBLE / n_chars::DOUBLE ELSE 0.0::DOUBLE END AS shared_part FROM n LEFT JOIN x USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _look_alikes(), "p5_found": P5, "p7_found": P7}
+    return {"p2_found": _look_alikes(), "p5_found": P5, "p5_groups": P5_GROUPS, "p6_placed": P6_PLACED, "p6_placed_dot": P6_PLACED, "p6_limits": P6_LIMITS, "p6_limits_dot": P6_LIMITS, "p7_found": P7, "p8_found": P8, "p8_shared_share": P8_SHARE}

@@ -115,6 +115,24 @@ def test_containers(spark, monkeypatch):
         packing.packed(sizes, [(1, 0)])
 
 
+def test_limits_that_bind(spark):
+    """Documents and attention limit the containers, by both rules; few containers more than the limits ask for."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice([3, 8, 20, 40, 90, 200, 400, 700, 950])) for k in range(3000)]
+    sizes = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    for rule in ("norm", "dot"):
+        got = packing.packed(sizes, [(1, 1000)], most_docs=6, cost_factor=0.5, rule=rule)
+        kept = packing.limits(got, [(1, 1000)], 6, 0.5).first()
+        assert (kept["n_documents"], kept["n_tokens"], kept["n_over_tokens"], kept["n_over_docs"], kept["n_over_cost"]) == (3000, sum(n for _, n in rows), 0, 0, 0)
+        pdf = got.toPandas()
+        per = pdf.groupby("container")
+        assert (per.size() == 6).sum() > 100  # the number of documents binds
+        cost = (pdf.n_tokens.astype(float) ** 2).groupby(pdf.container).sum()
+        assert ((per.n_tokens.sum() < 940) & (cost > 0.45 * 1000**2)).sum() > 20  # attention binds
+        alone = sum(n**2 > 0.5 * 1000**2 for _, n in rows)
+        assert per.ngroups <= 1.25 * (alone + sum(n**2 for _, n in rows if n**2 <= 0.5 * 1000**2) / (0.5 * 1000**2))
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (1, "hello"), (None, "x"), (4, "word " * 20_000)], "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(df).collect()}
