@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from ._common import stored
 
-#: Letters of Cyrillic and Greek script that look like a Latin letter.
+#: Letters of Cyrillic, Greek, Armenian and Cherokee script, and Roman numerals, that look like a Latin letter.
 LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
     "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
 }
 
@@ -34,7 +37,11 @@ INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎
 #: Plain code points: ASCII, line feed, and the Latin letters and signs that stay as they are unless a mark follows.
 _PLAIN = r" -~\n\u00a1-\u00ac\u00ae-\u024f"
 _ODD = rf"[^{_PLAIN}]"
-_SEGMENT = rf"([{_PLAIN}]*[{_PLAIN}](?!{_ODD})|[{_PLAIN}]?{_ODD}+)"
+#: What may belong to the code point before it: marks, invisible characters, Korean vowels and finals.
+_JOINS = rf"\p{{M}}\p{{Cf}}\u1160-\u11ff{INVISIBLE}\uff9e\uff9f"
+#: Code points of their own in a run that is handled at once; a longer run is cut between two of them.
+_RUN = 32
+_SEGMENT = rf"([{_PLAIN}]*[{_PLAIN}](?!{_ODD})|[{_PLAIN}]?[{_JOINS}]*(?:[^{_PLAIN}{_JOINS}][{_JOINS}]*){{1,{_RUN}}}|[{_PLAIN}]?[{_JOINS}]+)"
 
 
 def _one(ch: str) -> str:
@@ -45,6 +52,8 @@ def _one(ch: str) -> str:
         return " "
     if ch in "\u0085  ":
         return "\n"
+    if 0xAC00 <= ord(ch) <= 0xD7A3:  # syllables decompose by rule, not by the table
+        return unicodedata.normalize("NFD", ch)
     tag, _, rest = unicodedata.decomposition(ch).rpartition("> ")
     if rest and (not tag or tag + ">" in FOLDED_TAGS):
         return "".join(_one(chr(int(x, 16))) for x in rest.split())
@@ -77,12 +86,8 @@ def _composed(points: Column) -> Column:
     """The string of code points in order ``(p, i, c, ccc)``: marks sorted by class behind their base, then composed."""
     table = F.from_json(F.lit(json.dumps(dict(_tables()[1]))), "map<string,string>")  # folded to one literal
     # Canonical order: marks sort by class within the run of marks behind a base.
-    based = F.aggregate(
-        points,
-        F.struct(F.lit(0).alias("base"), F.array().cast("array<struct<base int, ccc int, at int, c string>>").alias("out")),
-        lambda acc, x: _put(acc, x),
-        lambda acc: F.array_sort(acc["out"]),
-    )
+    starts = F.filter(F.transform(points, lambda x, i: F.when(x["ccc"] == 0, i)), lambda i: i.isNotNull())  # few: a run is short
+    based = F.array_sort(F.transform(points, lambda x, i: F.struct(F.size(F.filter(starts, lambda k: k <= i)).alias("base"), x["ccc"].alias("ccc"), i.alias("at"), x["c"].alias("c"))))
     start = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit("").alias("marks"), F.lit(0).alias("last"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -95,10 +100,20 @@ def _composed(points: Column) -> Column:
     return F.aggregate(based, start, step, lambda acc: F.concat(acc["done"], acc["base"], acc["marks"]))
 
 
-def _put(acc: Column, x: Column) -> Column:
-    base = acc["base"] + F.when(x["ccc"] == 0, 1).otherwise(0)
-    row = F.struct(base.alias("base"), x["ccc"].alias("ccc"), F.size(acc["out"]).alias("at"), x["c"].alias("c"))
-    return F.struct(base.alias("base"), F.concat(acc["out"], F.array(row)).alias("out"))
+_KOREAN = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?"
+
+
+def _syllables(run: Column) -> Column:
+    """Korean initials, vowels and finals to syllables, by their numbers."""
+    number = lambda x, k, first: F.ascii(F.substring(x, k, 1)) - first
+
+    def one(x: Column) -> Column:
+        final = F.when(F.length(x) == 3, number(x, 3, 0x11A7)).otherwise(0)
+        code = (number(x, 1, 0x1100) * 21 + number(x, 2, 0x1161)) * 28 + final + 0xAC00
+        return F.when(x.rlike(f"^{_KOREAN}$"), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(x)
+
+    parts = F.regexp_extract_all(run, F.lit(f"({_KOREAN}|(?s:.))"), 1)
+    return F.when(run.rlike(_KOREAN), F.array_join(F.transform(parts, one), "")).otherwise(run)
 
 
 def with_line_feeds(text: Column) -> Column:
@@ -125,7 +140,7 @@ def consistent(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
     placed = mapped.groupBy("h", "k").agg(F.array_sort(F.collect_list(F.struct("p", "parts"))).alias("points"))
     # One run at a time: the parts of its code points in order, as one list.
     flat = F.flatten(F.transform("points", lambda x: x["parts"]))
-    runs = placed.select("h", "k", F.when(F.exists(flat, lambda x: x["ccc"] > 0), _composed(flat)).otherwise(F.array_join(F.transform(flat, lambda x: x["c"]), "")).alias("run"))
+    runs = placed.select("h", "k", _syllables(F.when(F.exists(flat, lambda x: x["ccc"] > 0), _composed(flat)).otherwise(F.array_join(F.transform(flat, lambda x: x["c"]), ""))).alias("run"))
     forms = runs.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("k", "run"))).alias("runs")).select("h", F.array_join(F.transform("runs", lambda x: x["run"]), "").alias("form"))
     changed = texts.join(forms, "h").select(*named, "text", "form")
     out = plain.union(changed)

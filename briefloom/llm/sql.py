@@ -4,15 +4,55 @@ from __future__ import annotations
 
 import unicodedata
 
-from . import normalize
+
+#: The letters that look like a Latin one, by their names in the Unicode tables.
+_NAMED = {
+    "CYRILLIC SMALL LETTER": "A a, IE e, O o, ER p, ES c, U y, HA x, BYELORUSSIAN-UKRAINIAN I i, DZE s, JE j, SHHA h, KOMI DE d, QA q, WE w, PALOCHKA l",
+    "CYRILLIC CAPITAL LETTER": "A A, VE B, IE E, KA K, EM M, EN H, O O, ER P, ES C, TE T, U Y, HA X, BYELORUSSIAN-UKRAINIAN I I, DZE S, JE J, QA Q, WE W",
+    "CYRILLIC LETTER": "PALOCHKA I",
+    "GREEK SMALL LETTER": "OMICRON o, NU v, RHO p",
+    "GREEK CAPITAL LETTER": "ALPHA A, BETA B, EPSILON E, ZETA Z, ETA H, IOTA I, KAPPA K, MU M, NU N, OMICRON O, RHO P, TAU T, UPSILON Y, CHI X, YOT J",
+    "GREEK": "LUNATE SIGMA SYMBOL c, LETTER YOT j, CAPITAL LUNATE SIGMA SYMBOL C",
+    "ARMENIAN SMALL LETTER": "OH o, SEH u, VO n, HO h, CO g, ZA q",
+    "ARMENIAN CAPITAL LETTER": "OH O, TIWN S",
+    "CHEROKEE LETTER": "GO A, YV B, TLI C, A D, GV E, NAH G, MI H, GU J, TSO K, TLE L, LU M, TLV P, E R, DU S, I T, DO V, LA W, NO Z",
+    "ROMAN NUMERAL": "ONE I, FIVE V, TEN X, FIFTY L, ONE HUNDRED C, FIVE HUNDRED D, ONE THOUSAND M",
+    "SMALL ROMAN NUMERAL": "ONE i, FIVE v, TEN x, FIFTY l, ONE HUNDRED c, FIVE HUNDRED d, ONE THOUSAND m",
+}
+#: What shows nothing though it is no format character: fillers, inherent vowels and variation selectors.
+_UNSEEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
+
+
+def _like() -> dict[str, str]:
+    return {unicodedata.lookup(f"{kind} {x.rpartition(' ')[0]}"): x.rpartition(" ")[2] for kind, names in _NAMED.items() for x in names.split(", ")}
 
 
 def _form(text: str) -> str:
-    """The consistent form for comparisons: one code point to one, invisible ones out, then composed."""
-    pairs = [(ch, to) for ch in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(ch) < 0xE000 and (ord(ch) < 0x3000 or ord(ch) > 0xFE00) and unicodedata.category(ch) != "Cn" and len(to := unicodedata.normalize("NFC", normalize._one(ch))) == 1 and to != unicodedata.normalize("NFC", ch)]
-    invisible = "".join(f"\\x{{{ord(ch):X}}}" for ch in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(ch) < 0xE000 and unicodedata.category(ch) != "Cn" and normalize._one(ch) == "")
+    """The consistent form for comparisons: one code point to one, invisible ones out, then composed.
+
+    Written from the statement of the problem with the Unicode tables alone: widths, fonts and kinds of blank don't show, nor do
+    format characters, nor the script of a letter that looks Latin.
+    """
+    like, pairs, invisible = _like(), [], []
+    for n in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+        ch = chr(n)
+        kind = unicodedata.category(ch)
+        if kind == "Cn":
+            continue
+        if n in _UNSEEN or (kind == "Cf" and not 0x600 <= n <= 0x605):
+            invisible.append(f"\\x{{{n:X}}}")
+        elif kind == "Zs":
+            pairs.append((ch, " "))
+        elif kind in ("Zl", "Zp") or n == 0x85:
+            pairs.append((ch, "\n"))
+        elif not 0xAC00 <= n <= 0xD7A3:
+            tag = unicodedata.decomposition(ch).partition(">")[0]
+            parts = unicodedata.normalize("NFKD" if tag in ("<wide", "<narrow", "<font") else "NFD", ch)
+            to = unicodedata.normalize("NFC", "".join(like.get(x, x) for x in parts))
+            if len(to) == 1 and to != unicodedata.normalize("NFC", ch):
+                pairs.append((ch, to))
     text = rf"regexp_replace({text}, '\r\n?', chr(10), 'g')"
-    text = f"regexp_replace({text}, '[{invisible}]', '', 'g')"
+    text = f"regexp_replace({text}, '[{''.join(invisible)}]', '', 'g')"
     old, new = ("".join(x).replace("'", "''") for x in zip(*pairs))
     return f"nfc_normalize(translate(replace({text}, chr(9), ' '), '{old}', '{new}'))"
 
@@ -24,6 +64,10 @@ def _look_alikes() -> str:
         r AS (SELECT *, {_form("t")} AS form FROM s) {one.format(src="comment")} UNION ALL {one.format(src="ticket")}"""
 
 
+def _consistent() -> str:
+    return f"""SELECT src, id, t AS text, {_form("t")} AS form FROM (SELECT DISTINCT 'comment' AS src, comment_id AS id, body AS t FROM ticket_comments UNION ALL SELECT DISTINCT 'ticket', ticket_id, description FROM tickets)"""
+
+
 P5 = """WITH w AS (SELECT DISTINCT comment_id AS id, list_sort(list_distinct(regexp_extract_all(translate(lower(body), chr(39) || '’', ''), '[a-z0-9]+'))) AS w FROM ticket_comments WHERE channel <> 'email' AND body IS NOT NULL),
     s AS (SELECT w, row_number() OVER () AS k FROM (SELECT DISTINCT w FROM w WHERE len(w) >= 30)),
     m AS (SELECT id, k FROM w JOIN s USING (w)),
@@ -63,4 +107,4 @@ P8_SHARE = f"""WITH {_SHARED}, n AS (SELECT doc_id, max(length(text))::BIGINT AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _look_alikes(), "p5_found": P5, "p5_groups": P5_GROUPS, "p6_placed": P6_PLACED, "p6_placed_dot": P6_PLACED, "p6_limits": P6_LIMITS, "p6_limits_dot": P6_LIMITS, "p7_found": P7, "p8_found": P8, "p8_shared_share": P8_SHARE}
+    return {"p2_found": _look_alikes(), "p2_consistent_text": _consistent(), "p5_found": P5, "p5_groups": P5_GROUPS, "p6_placed": P6_PLACED, "p6_placed_dot": P6_PLACED, "p6_limits": P6_LIMITS, "p6_limits_dot": P6_LIMITS, "p7_found": P7, "p8_found": P8, "p8_shared_share": P8_SHARE}

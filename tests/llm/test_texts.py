@@ -34,6 +34,20 @@ def test_consistent_form(spark):
     assert normalize.look_alike_pairs(df.limit(0), "id", "grp", "text").count() == 0
 
 
+def test_korean_and_long_runs(spark):
+    """Syllables and their parts are one; runs without blanks are cut only between code points that do not combine."""
+    whole = "한글 각 가 힣 테스트"
+    parts = unicodedata.normalize("NFD", whole)
+    thai, marks = "กำลังทดสอบระบบ" * 400, "а" + "\u0301\u0323" * 50
+    texts = [whole, parts, parts.replace("\u1161", "\u200b\u1161", 1), unicodedata.normalize("NFC", parts[:2]) + parts[2:], thai, thai + "\u200d", marks, unicodedata.normalize("NFD", "й" * 500), "й" * 500, "ᄀ", "ᅡ", "Ａ\u0301" * 99, "Á" * 99]
+    df = spark.createDataFrame([(k, "t", x) for k, x in enumerate(texts)], "id long, grp string, text string")
+    got = {r["id"]: r["form"] for r in normalize.consistent(df, ["id"]).collect()}
+    for k, x in enumerate(texts):
+        assert got[k] == plain_form(x), (k, got[k][:20], plain_form(x)[:20])
+    pairs = {tuple(r) for r in normalize.look_alike_pairs(df, "id", "grp", "text").collect()}
+    assert pairs == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (4, 5), (7, 8), (11, 12)}
+
+
 def test_plain_range_is_stable():
     assert all(plain_form(chr(n)) == chr(n) for n in range(0xA1, 0x250) if n != 0xAD)
 
