@@ -5,13 +5,16 @@ and full-width letters to Latin, invisible characters to nothing, all blanks to
 spelled digits to digits.  Detectors run on that form; their spans are mapped back to the source, so that offsets and
 placeholders are exact in the text as stored.
 
-Names come from a gazetteer of given and family names that the table's own author column gives over all its rows.
+Names come from a gazetteer of given and family names that the columns of persons give over all their rows.  Its words
+are marked in the texts first, in as many passes as its size needs; what the marks mean, and which mentions overlap, is
+settled once with all marks of a text, so that the passes change nothing.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
 from .normalize import LOOK_ALIKES, _one
 
-#: Names that one pass carries to the tasks; a larger gazetteer takes several passes.
+#: Names that one pass carries to the tasks, over the driver; a larger gazetteer takes several passes, one after another.
 BLOCK = 500_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -196,75 +200,143 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
-class Detector:
-    """All detectors with one block of the gazetteer."""
+Mark = tuple[int, int, bool, bool]
+
+
+class Gazetteer:
+    """Words of one block, to be marked in texts."""
 
-    def __init__(self, given: list[str], family: list[str], others: bool = True):
-        self.given, self.family, self.others = {_plain(x) for x in given}, {_plain(x) for x in family}, others
+    def __init__(self, given: list[str], family: list[str]):
+        self.given, self.family = {_plain(x) for x in given}, {_plain(x) for x in family}
         self._names = None
 
     def __getstate__(self):
-        return {"given": self.given, "family": self.family, "others": self.others, "_names": None}
+        return {"given": self.given, "family": self.family, "_names": None}
 
-    def names(self, text: str) -> list[tuple[str, int, int]]:
-        low = text.lower() if text.isascii() else text.translate(_FOLD)
+    def marks(self, form: str) -> list[Mark]:
+        """(start, end, given, family) of the whole words of a readable text that the block holds."""
+        if not self.given and not self.family:
+            return []
+        low = form.lower() if form.isascii() else form.translate(_FOLD)
         if self._names is None:
             self._names = ahocorasick.Automaton()
             for x in self.given | self.family:
                 self._names.add_word(x, len(x))
             self._names.make_automaton()
-        out, firsts, ends = [], [], {}
-        if self.given or self.family:
-            for last, n in self._names.iter(low):
-                a, b = last - n + 1, last + 1
-                if (a and (low[a - 1].isalnum() or low[a - 1] == "_")) or (b < len(low) and (low[b].isalnum() or low[b] == "_")):
-                    continue
-                word = low[a:b]
-                if word in self.family:
-                    ends[b] = a
-                if word in self.given:
-                    firsts.append((a, b))
-        taken = 0
-        for a, b in firsts:
-            if a < taken or (a and text[a - 1] in "@.-+" and (a < 2 or text[a - 2] != " ")) or (b < len(text) and text[b] == "@"):
+        out = []
+        for last, n in self._names.iter(low):
+            a, b = last - n + 1, last + 1
+            if (a and (low[a - 1].isalnum() or low[a - 1] == "_")) or (b < len(low) and (low[b].isalnum() or low[b] == "_")):
                 continue
-            m = _NEXT.match(text, b)
-            if m and _plain(m[1]) in self.family and not (m.end() < len(text) and text[m.end()] == "@"):
-                out.append(("name", a, m.end()))
-                taken = m.end()
-                continue
-            m = _BEFORE.search(text, max(0, a - 40), a)
-            if m and m.start() in ends and ends[m.start()] >= taken and text[max(0, ends[m.start()] - 1)] not in "@.":
-                out.append(("name", ends[m.start()], b))
-                taken = b
-        covered = [(x[1], x[2]) for x in out]
-        if ends:
-            for b, a in ends.items():
-                m = _INITIAL.search(text, max(0, a - 12), a)
-                if m and not any(x < b and m.start() < y for x, y in covered):
-                    out.append(("name", m.start(), b))
-                    covered.append((m.start(), b))
-                    continue
-                m = _AFTER_INITIAL.match(text, b)
-                if m and not any(x < m.end() and a < y for x, y in covered):
-                    follow = _NEXT.match(text, m.end())
-                    if not (follow and _plain(follow[1]) in self.family):
-                        out.append(("name", a, m.end()))
-                        covered.append((a, m.end()))
+            word = low[a:b]
+            out.append((a, b, word in self.given, word in self.family))
         return out
 
-    def spans(self, text: str) -> list[tuple[str, int, int]]:
-        """(kind, start, end) of each mention in the text as stored, in order, not overlapping."""
+
+def names(text: str, marks: list[Mark]) -> list[tuple[str, int, int]]:
+    """The names that marked words of a readable text make up; marks of a word may come from several blocks."""
+    by: dict[tuple[int, int], list[bool]] = {}
+    for a, b, g, f in marks:
+        kinds = by.setdefault((a, b), [False, False])
+        kinds[0] |= g
+        kinds[1] |= f
+    firsts = sorted(x for x, (g, _) in by.items() if g)
+    starts: dict[int, list[int]] = {}
+    ends: dict[int, int] = {}
+    for (a, b), (_, f) in sorted(by.items(), key=lambda x: (x[0][1], -x[0][0])):
+        if f:
+            ends[b] = a  # of words that end at one place the longest
+            starts.setdefault(a, []).append(b)
+    family = lambda m: m.end(1) in starts.get(m.start(1), ())
+    out, taken = [], 0
+    for a, b in firsts:
+        if a < taken or (a and text[a - 1] in "@.-+" and (a < 2 or text[a - 2] != " ")) or (b < len(text) and text[b] == "@"):
+            continue
+        m = _NEXT.match(text, b)
+        if m and family(m) and not (m.end() < len(text) and text[m.end()] == "@"):
+            out.append(("name", a, m.end()))
+            taken = m.end()
+            continue
+        m = _BEFORE.search(text, max(0, a - 40), a)
+        if m and m.start() in ends and ends[m.start()] >= taken and text[max(0, ends[m.start()] - 1)] not in "@.":
+            out.append(("name", ends[m.start()], b))
+            taken = b
+    covered = _Spans()
+    for _, a, b in out:
+        covered.add(a, b)
+    for b, a in ends.items():
+        m = _INITIAL.search(text, max(0, a - 12), a)
+        if m and covered.add(m.start(), b):
+            out.append(("name", m.start(), b))
+            continue
+        m = _AFTER_INITIAL.match(text, b)
+        if m and covered.free(a, m.end()):
+            follow = _NEXT.match(text, m.end())
+            if not (follow and family(follow)):
+                covered.add(a, m.end())
+                out.append(("name", a, m.end()))
+    return out
+
+
+class _Spans:
+    """Stretches that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return not k or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether the stretch was free; if so it is taken."""
+        if not self.free(a, b):
+            return False
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
+class _Stretches:
+    """Stretches that may overlap: which places they cover, as a merged list in order."""
+
+    def __init__(self, some: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for x in some:
+            self.append(x)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return not k or self.ends[k - 1] <= a
+
+    def append(self, x: tuple[int, int]) -> None:
+        a, b = x
+        i, j = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        if i < j:
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
+
+
+_ORDER = {"email": 0, "id": 1, "phone": 2, "address": 3, "name": 4}
+
+
+class Detector:
+    """All detectors with one block of the gazetteer."""
+
+    def __init__(self, given: list[str], family: list[str]):
+        self.block = Gazetteer(given, family)
+
+    def spans(self, text: str, marks: list[Mark] | None = None) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of each mention in the text as stored, in order, not overlapping; ``marks`` of the readable
+        text in place of the block's own."""
         form, places = readable(text)
-        found = self.names(form)
-        if self.others:
-            found += self._others(form)
+        found = names(form, self.block.marks(form) if marks is None else marks) + self._others(form)
+        taken = _Spans()
+        kept = [x for x in sorted(found, key=lambda x: (_ORDER[x[0]], x[1])) if taken.add(x[1], x[2])]
         out, end = [], 0
-        order = {"email": 0, "id": 1, "phone": 2, "address": 3, "name": 4}
-        kept: list[tuple[str, int, int]] = []
-        for x in sorted(found, key=lambda x: (order[x[0]], x[1])):
-            if not any(x[1] < b and a < x[2] for _, a, b in kept):
-                kept.append(x)
         for kind, a, b in sorted(kept, key=lambda x: x[1]):
             if places is not None:
                 spelled = form[b - 1].isdigit()
@@ -296,8 +368,8 @@ class Detector:
         if not clusters and not kinds and not iban and "pas" not in low and "pass" not in low:
             return out
         near = lambda pattern: [m for a, b in clusters for m in pattern.finditer(t, a, min(b, len(t)))]
-        blocked = [(a, b) for _, a, b in out]
-        free = lambda a, b: not any(a < y and x < b for x, y in blocked)
+        blocked = _Stretches([(a, b) for _, a, b in out])
+        free = blocked.free
         m = _IBAN.search(t, iban.start()) if iban else None
         while m:
             chars, places = [], []
@@ -337,12 +409,12 @@ class Detector:
                 blocked.append(m.span("n"))
         digits = lambda m: sum(x.isdigit() for x in m.group())
         phones = [m for m in near(_PHONE) if digits(m) >= _FULL_PHONE]
-        taken = [m.span() for m in phones]
+        taken = _Stretches([m.span() for m in phones])
         if "\n" in t and clusters:
-            phones += [m for m in near(_WRAPPED_PHONE) if "\n" in m.group() and not any(a < m.end() and m.start() < b for a, b in taken)]
-        taken = [m.span() for m in phones if free(*m.span()) and 8 <= digits(m) <= 16]
+            phones += [m for m in near(_WRAPPED_PHONE) if "\n" in m.group() and taken.free(*m.span())]
+        taken = _Stretches([m.span() for m in phones if free(*m.span()) and 8 <= digits(m) <= 16])
         for m in near(_PHONE):
-            if 8 <= digits(m) < _FULL_PHONE and (_CLEAR_PHONE.match(m.group()) or _PHONE_WORD.search(t, max(0, m.start() - 12), m.start())) and not any(a < m.end() and m.start() < b for a, b in taken):
+            if 8 <= digits(m) < _FULL_PHONE and (_CLEAR_PHONE.match(m.group()) or _PHONE_WORD.search(t, max(0, m.start() - 12), m.start())) and taken.free(*m.span()):
                 phones.append(m)
         for m in phones:
             if free(*m.span()) and 8 <= digits(m) <= 16:
@@ -372,12 +444,13 @@ def name_gazetteer(people: DataFrame, column: str) -> DataFrame:
     return given.select(F.col("g").alias("word"), F.lit(True).alias("given")).union(family)
 
 
-def _apply(detector: Detector, masked: bool):
+def _apply(detector: Detector, masked: bool, marked: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for rec, text in zip(pdf["rec_id"], pdf["text"]):
-                spans = detector.spans(text)
+            held = pdf["marks"] if marked else [None] * len(pdf)
+            for rec, text, marks in zip(pdf["rec_id"], pdf["text"], held):
+                spans = detector.spans(text, [(x["a"], x["b"], x["g"], x["f"]) for x in ([] if marks is None else marks)] if marked else None)
                 if masked:
                     out, done = [], 0
                     for kind, a, b in spans:
@@ -391,26 +464,41 @@ def _apply(detector: Detector, masked: bool):
     return run
 
 
-def _again(detector: Detector):
-    inner = _apply(detector, True)
-
+def _marked(block: Gazetteer):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for out in inner(iter([pdf])):
-                yield out.assign(n_found=out["n_found"] + pdf["before"].to_numpy())
+            rows = [(h, [{"a": a, "b": b, "g": g, "f": f} for a, b, g, f in block.marks(readable(text)[0])]) for h, text in zip(pdf["h"], pdf["text"])]
+            yield pd.DataFrame([x for x in rows if x[1]], columns=["h", "marks"])
 
     return run
 
 
-def _detectors(gazetteer: DataFrame) -> list[Detector]:
-    """One where the gazetteer has BLOCK words or fewer; else one for each pair of a block of given and a block of
-    family names, of which only the first looks for the other kinds."""
-    blocks: dict[bool, list[list[str]]] = {True: [[]], False: [[]]}
+def _blocks(gazetteer: DataFrame) -> Iterator[tuple[list[str], list[str], bool]]:
+    """The given and family names of each block, and whether it is the last; the driver holds one or two at a time."""
+    given: list[str] = []
+    family: list[str] = []
     for row in gazetteer.toLocalIterator():  # a partition at a time, short words
-        if len(blocks[row["given"]][-1]) >= BLOCK:
-            blocks[row["given"]].append([])
-        blocks[row["given"]][-1].append(row["word"])
-    return [Detector(g, f, i == j == 0) for i, g in enumerate(blocks[True]) for j, f in enumerate(blocks[False])]
+        if len(given) + len(family) >= BLOCK:
+            yield given, family, False
+            given, family = [], []
+        (given if row["given"] else family).append(row["word"])
+    yield given, family, True
+
+
+def _through(texts: DataFrame, gazetteer: DataFrame, masked: bool, schema: str) -> DataFrame:
+    """The detectors over ``rec_id, text``: in one pass where one block holds the gazetteer, else after a pass for each block."""
+    parts: list[DataFrame] = []
+    for given, family, last in _blocks(gazetteer):
+        if last and not parts:
+            return texts.mapInPandas(_apply(Detector(given, family), masked, False), schema)
+        once = texts.select(F.xxhash64("text", F.reverse("text")).alias("h"), "text")
+        parts.append(stored(once.mapInPandas(_marked(Gazetteer(given, family)), "h long, marks array<struct<a int, b int, g boolean, f boolean>>").dropDuplicates(["h"])))
+    marks = parts[0]
+    for x in parts[1:]:
+        marks = marks.union(x)
+    marks = marks.groupBy("h").agg(F.flatten(F.collect_list("marks")).alias("marks"))  # of one text
+    rows = texts.withColumn("h", F.xxhash64("text", F.reverse("text"))).join(marks, "h", "left").select("rec_id", "text", "marks")
+    return rows.mapInPandas(_apply(Detector([], []), masked, True), schema)
 
 
 def mentions(df: DataFrame, id_col: str, text_col: str, gazetteer: DataFrame) -> DataFrame:
@@ -419,19 +507,11 @@ def mentions(df: DataFrame, id_col: str, text_col: str, gazetteer: DataFrame) ->
     Rows with a null id or text give none, nor do empty texts; repeated rows count once.
     """
     texts = df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).alias("text")).filter("rec_id is not null and length(text) > 0")
-    found = [texts.mapInPandas(_apply(d, False), "rec_id long, kind string, start_pos int, end_pos int") for d in _detectors(gazetteer)]
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct()
+    return _through(texts, gazetteer, False, "rec_id long, kind string, start_pos int, end_pos int").distinct()
 
 
 def masked(df: DataFrame, id_col: str, text_col: str, gazetteer: DataFrame) -> DataFrame:
     """``rec_id, masked, n_found``: each non-null text with its mentions replaced by placeholders of their type, the
     rest left as it is; a row for each row of ``df`` with an id and a text."""
     texts = df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).alias("text")).filter("rec_id is not null and text is not null")
-    detectors = _detectors(gazetteer)
-    out = texts.mapInPandas(_apply(detectors[0], True), "rec_id long, masked string, n_found int")
-    for d in detectors[1:]:  # placeholders hold no name, so that passes follow one another
-        out = out.select("rec_id", F.col("masked").alias("text"), F.col("n_found").alias("before")).mapInPandas(_again(d), "rec_id long, masked string, n_found int")
-    return out
+    return _through(texts, gazetteer, True, "rec_id long, masked string, n_found int")

@@ -103,6 +103,31 @@ def test_mentions_in_tables(spark):
     assert pii.mentions(df.limit(0), "id", "body", names).count() == 0
 
 
+def test_blocks_of_names_change_nothing(spark, monkeypatch):
+    people = spark.createDataFrame([(f"{g} {f}",) for g in ("Anna", "José", "Kim") for f in ("Weber", "Ruiz", "Kim")], "author string")
+    texts = ["at 12 Anna Weber Road", "Weber, Anna; KIM RUIZ and Anna Kim", "J. Ruiz, Ruiz J., kim kim@x.example", "no one", "", "Anna\u200b Weber " * 3]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "id long, body string")
+    gazetteer = pii.name_gazetteer(people, "author")
+    one = {tuple(r) for r in pii.mentions(df, "id", "body", gazetteer).collect()}
+    shown = {tuple(r) for r in pii.masked(df, "id", "body", gazetteer).collect()}
+    monkeypatch.setattr(pii, "BLOCK", 1)
+    assert {tuple(r) for r in pii.mentions(df, "id", "body", gazetteer).collect()} == one and {tuple(r) for r in pii.masked(df, "id", "body", gazetteer).collect()} == shown
+    assert (0, "address", 3, 21) in one and sum(x[0] == 5 for x in one) == 3
+
+
+def test_many_mentions_in_linear_time():
+    import time
+
+    def took(n):
+        text = "Write a.b@c.example or Anna Weber, +44 7700 900123. " * n
+        began = time.perf_counter()
+        assert len(DETECTOR.spans(text)) == 3 * n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(4000) < 12 * took(1000)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4), st.lists(st.sampled_from("abcd"), max_size=16), st.integers(1, 4))
 def test_suffix_automaton(sources, words, least):
