@@ -24,8 +24,9 @@ def _both(f: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> Data
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the authors of all comments."""
-    return pii.name_gazetteer(read(spark, sf_dir, "ticket_comments"), "author")
+    """Names of the authors of all comments and of the assignees of all tickets."""
+    authors = read(spark, sf_dir, "ticket_comments").select(F.col("author").alias("person"))
+    return pii.name_gazetteer(authors.union(read(spark, sf_dir, "tickets").select(F.col("metadata")["assignee"])), "person")
 
 
 #: Documents that a container takes; these, and the share of its squared capacity, where attention is to bind too.
