@@ -15,17 +15,20 @@ def cleaned(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, T.squeeze(T.cut_signature(T.drop_quoted_lines(T.cut_mail_quote(F.col(col))))))
 
 
-def sources(heads: DataFrame, comments: DataFrame) -> DataFrame:
-    """``doc, no, origin, author, bot, text, reason``: descriptions (no 0) and comments (from 1), cleaned; ``reason`` is
-    why a comment is left out.  Null texts, authors and flags count as empty and false."""
+def raw_sources(heads: DataFrame, comments: DataFrame) -> DataFrame:
+    """``doc, no, origin, author, bot, text, reason``: descriptions (no 0) and comments (from 1) as they are, without a reason
+    to leave any out.  Null texts, authors and flags count as empty and false."""
     none = F.lit("")
     rows = heads.select("doc", F.lit(0).cast("long").alias("no"), none.alias("author"), F.lit(False).alias("bot"), F.coalesce("description", none).alias("text")).union(
         comments.select("doc", F.col("no").cast("long"), F.coalesce("author", none), F.coalesce("bot", F.lit(False)), F.coalesce("body", none))
     )
-    rows = cleaned(rows, "text")
-    reason = F.when(F.col("no") > 0, T.noise_reason(F.col("text"), F.col("author"), F.col("bot")))
     origin = F.when(F.col("no") == 0, "description").otherwise(F.concat(F.lit("comment:"), F.col("no").cast("string")))
-    return rows.select("doc", "no", origin.alias("origin"), "author", "bot", "text", reason.alias("reason"))
+    return rows.select("doc", "no", origin.alias("origin"), "author", "bot", "text", F.lit(None).cast("string").alias("reason"))
+
+
+def with_reason(rows: DataFrame) -> DataFrame:
+    """Sources with the reason why a comment is left out, if there is one."""
+    return rows.withColumn("reason", F.when(F.col("no") > 0, T.noise_reason(F.col("text"), F.col("author"), F.col("bot"))))
 
 
 def noise_report(rows: DataFrame) -> DataFrame:

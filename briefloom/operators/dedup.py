@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .store import stored
+from .store import drop, stored
 
 #: Characters of a long word that stand for a contained text of one or two words; such a text has a word of that length.
 _GRAM = (T.CONTAINED + 1) // 2
@@ -93,11 +93,14 @@ def first_kept(edges: DataFrame) -> DataFrame:
         firsts = open_.select("g", F.col("a").alias("n")).distinct().join(ends, ["g", "n"], "left_anti")
         sure = stored(firsts)  # no undecided earlier text is linked to these: kept
         if sure.isEmpty():
+            drop(sure)
             break
         gone = stored(open_.join(sure.select("g", F.col("n").alias("a")), ["g", "a"]).select("g", F.col("b").alias("n")).distinct())
         dropped_parts.append(gone)
         # What is dropped no longer drops others; what is decided is no longer open.
+        was = open_
         open_ = stored(open_.join(gone.select("g", F.col("n").alias("b")), ["g", "b"], "left_anti").join(gone.select("g", F.col("n").alias("a")), ["g", "a"], "left_anti").join(sure.select("g", F.col("n").alias("a")), ["g", "a"], "left_anti"))
+        drop(sure, was if was is not edges else None)
     if not dropped_parts:
         return edges.select("g", F.col("b").alias("n"), F.col("a").alias("kept_by"))
     gone = dropped_parts[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import drop, stored
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     are written each round; the rounds grow with the logarithm of the longest path.  Degrees are combined on the
     map side, so a node linked to a third of all others is one row a task.
     """
-    links = stored(edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).filter("x <> y").distinct())
+    first = links = stored(edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).filter("x <> y").distinct())
     every = links.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     while True:
         # Large star: all greater neighbours to the least one; small star: all lesser neighbours to the least one.
@@ -27,6 +27,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = down.join(m2, "y").select(F.explode(F.array(F.struct(F.col("x").alias("p"), "m"), F.struct(F.col("y").alias("p"), "m"))).alias("s")).select(F.col("s.m").alias("x"), F.col("s.p").alias("y")).filter("x <> y").distinct()
         fresh = stored(small)
         same = fresh.count() == links.count() and fresh.exceptAll(links).isEmpty()
+        if links is not first:
+            drop(links)
         links = fresh
         if same:
             break

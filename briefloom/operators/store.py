@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written and not yet deleted, in order.
+_made: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of its own only where that is unset and Spark is one process."""
@@ -22,4 +27,44 @@ def scratch_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/briefloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_stored_at", None)) in _made:
+            _delete(t.sparkSession, path)
+
+
+def mark() -> set[str]:
+    """What is stored so far, for ``drop_since``."""
+    return set(_made)
+
+
+def drop_since(before: set[str], *keep: DataFrame) -> None:
+    """Deletes what was stored since a mark, but for some tables; nothing else may read it any more."""
+    held = {t._stored_at for t in keep}
+    for path in [x for x in _made if x not in before and x not in held]:
+        _delete(keep[0].sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was stored inside; results must be written or collected by then."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [x for x in _made if x not in before]:
+            _delete(spark, path)

@@ -64,23 +64,37 @@ def unique_texts(items: DataFrame) -> DataFrame:
     Texts meet in a slot only if near-duplicates link them, so that each linked set of a group folds on its own.
     """
     items = stored(items.withColumn("form", T.normal_form(F.col("text"))))
-    reps = stored(items.groupBy("g", "form").agg(F.min("n").alias("n"), F.count("*").alias("c")))
+    reps = stored(items.groupBy("g", "form").agg(F.min("n").alias("n")))
     edges = stored(dedup.near_edges(reps.select("g", "n", "form")))
     node = lambda c: F.struct("g", F.col(c).alias("n"))
     roots = graph.components(edges.select(node("a").alias("a"), node("b").alias("b")), "a", "b").select(F.col("node.g").alias("g"), F.col("node.n").alias("n"), F.col("root.n").alias("root"))
-    marked = stored(reps.join(roots, ["g", "n"], "left").select("g", "form", F.coalesce("root", "n").alias("root"), (F.col("root").isNull() & (F.col("c") == 1)).alias("alone")))
+    marked = stored(reps.join(roots, ["g", "n"], "left").select("g", "form", F.col("root")))
     rows = items.join(marked, ["g", "form"])
     fields = rows.select("g", "n", "text").schema
-    folded = rows.filter("not alone").select("g", "root", "n", "text", "form").groupBy("g", "root").applyInPandas(_fold, fields)
-    return rows.filter("alone").select("g", "n", "text").union(folded)
+    # A form that no other is linked to keeps the first of its longest wordings, however often it is repeated.
+    alone = rows.filter("root is null").groupBy("g", "form").agg(F.min("n").alias("n"), F.min_by("text", F.struct(-T.utf16_length(F.col("text")), "n")).alias("text"))
+    folded = rows.filter("root is not null").select("g", "root", "n", "text", "form").groupBy("g", "root").applyInPandas(_fold, fields)
+    return alone.select("g", "n", "text").union(folded)
+
+
+#: The stages of the standard plan in order.
+STAGES = ["html_cleaning", "noise_filter", "block_splitting", "duplicate_detection", "decision_extraction", "acceptance_criteria_extraction", "todo_extraction", "risk_extraction", "ranking", "assembly"]
+#: The lists that an extraction stage fills.
+_FILLS = {"decision_extraction": ["decisions"], "acceptance_criteria_extraction": ["acceptanceCriteria", "constraints"], "todo_extraction": ["todos"], "risk_extraction": ["risks", "dependencies"]}
+
+
+def no_compressor(records: DataFrame) -> DataFrame:
+    """The records as they are."""
+    return records
 
 
 @dataclass
 class Stage:
-    """A named step over a table of the plan, for pipelines of one's own."""
+    """A step of one's own over a table of the plan: ``sources``, ``blocks``, ``kept``, ``extracts``, ``tags`` or ``records``."""
 
     name: str
     apply: Callable[[DataFrame], DataFrame]
+    table: str = "kept"
 
 
 class Briefs:
@@ -88,18 +102,44 @@ class Briefs:
     body, bot), step by step.
 
     Nulls count as empty; tickets without comments or text get a brief too; comments without a ticket are ignored;
-    empty tables give an empty result.  ``compressor`` is applied to the finished records (default: none).
+    empty tables give an empty result.  ``stages`` is the plan as a list of names (``STAGES`` by default) and stages of
+    one's own: what is left out isn't done, cleaning and filtering go in the order given, extraction that comes before
+    the duplicates are detected sees them too, and ranking counts what was extracted before it.  ``block_stages`` are
+    further ones, ``compressor`` is applied to the finished records.
     """
 
-    def __init__(self, heads: DataFrame, comments: DataFrame, levels: list[str] | None = None, block_stages: list[Stage] | None = None, compressor: Callable[[DataFrame], DataFrame] = lambda d: d):
+    def __init__(
+        self, heads: DataFrame, comments: DataFrame, levels: list[str] | None = None, block_stages: list[Stage] | None = None,
+        compressor: Callable[[DataFrame], DataFrame] = no_compressor, stages: list[str | Stage] | None = None,
+    ):
         empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
         self.heads = heads.select("doc", empty("key"), empty("title"), empty("description"), empty("linked")).filter("doc is not null")
         self.comments = comments.filter("doc is not null").join(self.heads.select("doc"), "doc", "left_semi").select("doc", "no", "author", "body", "bot")
-        self.levels, self.block_stages, self.compressor = levels or list(vocab.LEVELS), block_stages or [], compressor
+        self.levels, self.compressor = levels or list(vocab.LEVELS), compressor
+        every = [*(STAGES if stages is None else stages), *(block_stages or [])]
+        self.stages, self.own = [x for x in every if isinstance(x, str)], [x for x in every if isinstance(x, Stage)]
+        if (wrong := [x for x in self.stages if x not in STAGES] + [x.table for x in self.own if x.table not in ("sources", "blocks", "kept", "extracts", "tags", "records")]) or len(set(self.stages)) < len(self.stages):
+            raise ValueError(f"unknown or repeated stages: {wrong or self.stages}")
+        at = {x: k for k, x in enumerate(self.stages)}
+        for first, then in [("html_cleaning", "block_splitting"), ("noise_filter", "block_splitting"), *[("block_splitting", x) for x in STAGES[3:9]], *[(x, "assembly") for x in STAGES[:9]]]:
+            if first in at and then in at and at[first] > at[then]:
+                raise ValueError(f"{first} must come before {then}")
+
+    def _before(self, first: str, then: str) -> bool:
+        return first in self.stages and (then not in self.stages or self.stages.index(first) < self.stages.index(then))
+
+    def _with_own(self, table: str, df: DataFrame) -> DataFrame:
+        for stage in self.own:
+            if stage.table == table:
+                df = stage.apply(df)
+        return stored(df)
 
     @cached_property
     def sources(self) -> DataFrame:
-        return stored(clean.sources(self.heads, self.comments))
+        rows = clean.raw_sources(self.heads, self.comments)
+        for x in self.stages:
+            rows = clean.cleaned(rows, "text") if x == "html_cleaning" else clean.with_reason(rows) if x == "noise_filter" else rows
+        return self._with_own("sources", rows)
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -107,21 +147,32 @@ class Briefs:
         near-duplicate of each."""
         live = self.sources.filter("reason is null").select("doc", "no", F.posexplode(T.blocks(F.col("text"))).alias("k", "text"))
         rows = live.select(F.col("doc").alias("g"), _at("no", "k").alias("n"), "no", "k", "text", T.normal_form(F.col("text")).alias("form"))
-        return stored(dedup.collapse(stored(rows)).withColumnRenamed("g", "doc"))
+        rows = stored(rows if "block_splitting" in self.stages else rows.filter(F.lit(False)))
+        rows = dedup.collapse(rows) if "duplicate_detection" in self.stages else rows.withColumn("kept_by", F.col("n"))
+        return self._with_own("blocks", rows.withColumnRenamed("g", "doc"))
 
     @cached_property
     def kept(self) -> DataFrame:
         """``doc, n, no, k, text, times``: kept paragraphs with the number of times they were said."""
         times = self.blocks.groupBy("doc", F.col("kept_by").alias("n")).agg(F.count("*").alias("times"))
         out = self.blocks.filter("n = kept_by").select("doc", "n", "no", "k", "text").join(times, ["doc", "n"])
-        for stage in self.block_stages:
-            out = stage.apply(out)
-        return stored(out)
+        return self._with_own("kept", out)
+
+    @cached_property
+    def _read(self) -> DataFrame:
+        """The paragraphs that extraction looks at: all of them if some extraction comes before duplicates are detected."""
+        return self.blocks if any(self._before(x, "duplicate_detection") for x in _FILLS) and "duplicate_detection" in self.stages else self.kept
+
+    def _seen(self, rows: DataFrame, stage: str) -> DataFrame:
+        """Of rows from ``_read`` those that a stage sees."""
+        if stage not in self.stages:
+            return rows.filter(F.lit(False))
+        return rows if self._read is self.kept or self._before(stage, "duplicate_detection") else rows.join(self.kept.select("doc", "n"), ["doc", "n"], "left_semi")
 
     @cached_property
     def sentences(self) -> DataFrame:
         """``doc, n, j, text`` of kept paragraphs' sentences that say something, with a column for each thing that they may say."""
-        rows = self.kept.select("doc", "n", F.posexplode(T.sentences(F.col("text"))).alias("j", "text"))
+        rows = self._read.select("doc", "n", F.posexplode(T.sentences(F.col("text"))).alias("j", "text"))
         flags = T.said(F.col("text"))
         return stored(rows.select("*", *[c.alias(k) for k, c in flags.items()]).filter(" or ".join(flags)))
 
@@ -132,14 +183,27 @@ class Briefs:
         names = list(_CATEGORY)
         each = F.filter(F.array(*[F.when(F.col(f), F.lit(f)) for f in names if f != "acceptanceCriteria"]), lambda x: x.isNotNull())
         rows = self.sentences.select("doc", "n", "j", F.explode(each).alias("list"), "text").withColumn("text", F.when(F.col("list") == "todos", T.without_label(F.col("text"))).otherwise(F.col("text")))
-        held = self.kept.filter(T.may_hold_criteria(F.col("text"))).select("doc", "n", F.posexplode(F.concat(T.section_items(F.col("text")), T.scenarios(F.col("text")))).alias("j", "text"))
+        held = self._read.filter(T.may_hold_criteria(F.col("text"))).select("doc", "n", F.posexplode(F.concat(T.section_items(F.col("text")), T.scenarios(F.col("text")))).alias("j", "text"))
         rows = rows.union(held.select("doc", "n", "j", F.lit("acceptanceCriteria").alias("list"), "text"))
         category = F.create_map(*[F.lit(x) for pair in _CATEGORY.items() for x in pair])
-        rows = stored(rows.select("doc", "n", "j", "list", category[F.col("list")].alias("category"), "text"))
+        rows = rows.select("doc", "n", "j", "list", category[F.col("list")].alias("category"), "text")
+        if self._read is not self.kept or not all(x in self.stages for x in _FILLS):
+            parts = [self._seen(rows.filter(F.col("list").isin(names)), x) for x, names in _FILLS.items()]
+            rows = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+        rows = stored(rows)
         form = T.normal_form(F.col("text"))
         criteria = stored(rows.filter("list = 'acceptanceCriteria'").groupBy("doc", form.alias("form")).agg(F.min("n").alias("at")))
         limits = stored(rows.filter("list = 'constraints'").withColumn("form", form))
-        return stored(rows.filter("list <> 'constraints'").union(limits.join(self._covered(limits, criteria), ["doc", "form", "n"], "left_anti").select(rows.columns)))
+        return self._with_own("extracts", rows.filter("list <> 'constraints'").union(limits.join(self._covered(limits, criteria), ["doc", "form", "n"], "left_anti").select(rows.columns)))
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        """``doc, n, category`` of kept paragraphs: what was extracted from them, and parts of a system that a decision names."""
+        counted = [x for x in _FILLS if "ranking" not in self.stages or self._before(x, "ranking")]
+        lists = [f for x in counted for f in _FILLS[x]]
+        built = self._seen(self.sentences.filter("architecture"), "decision_extraction" if "decision_extraction" in counted else "").select("doc", "n", F.lit("ARCHITECTURE").alias("category"))
+        said = self.extracts.filter(F.col("list").isin(lists)).select("doc", "n", "category") if set(lists) != set(_CATEGORY) or any(x.table == "extracts" for x in self.own) else self.extracts.select("doc", "n", "category")
+        return self._with_own("tags", said.union(built).distinct())
 
     @staticmethod
     def _covered(limits: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -167,8 +231,7 @@ class Briefs:
     @cached_property
     def scored(self) -> DataFrame:
         """``doc, n, no, k, text, times, categories, score`` of kept paragraphs."""
-        built = self.sentences.filter("architecture").select("doc", "n", F.lit("ARCHITECTURE").alias("category"))
-        said = self.extracts.select("doc", "n", "category").union(built).groupBy("doc", "n").agg(F.collect_set("category").alias("said"))
+        said = self.tags.groupBy("doc", "n").agg(F.collect_set("category").alias("said"))
         t = F.col("text")
         tags = F.array_compact(F.array(F.when(T.is_goal_block(t), "BUSINESS_GOAL"), F.when(T.is_log_dump(t), "NOISE")))
         cats = F.concat(F.coalesce("said", F.array().cast("array<string>")), tags)
@@ -188,7 +251,25 @@ class Briefs:
     @cached_property
     def live(self) -> DataFrame:
         """Paragraphs by level, those above its threshold."""
-        return self.scored.select("*", _levels(self.levels).alias("l")).select("*", "l.level", "l.threshold").drop("l").filter("score >= threshold")
+        rows = self.scored.select("*", _levels(self.levels).alias("l")).select("*", "l.level", "l.threshold").drop("l")
+        return rows.filter("score >= threshold") if "ranking" in self.stages else rows
+
+    def _architecture(self) -> DataFrame:
+        """``doc, level, field, n, text``: sentences of live paragraphs that name parts of a system but decide nothing, without
+        those that the decisions of the level say already.  The standard stages tag no such paragraph."""
+        allowed = [k for k in self.levels if vocab.LEVELS[k] <= vocab.WEIGHTS["ARCHITECTURE"]]
+        noted = self.live.filter(F.array_contains("categories", "ARCHITECTURE") & ~F.array_contains("categories", "DECISION") & F.col("level").isin(allowed))
+        said = stored(noted.select("doc", "level", "n", F.posexplode(T.sentences(F.col("text"))).alias("j", "text")).withColumn("form", T.normal_form(F.col("text"))))
+        decided = self.lists.filter("field = 'decisions'").select("doc", "n", T.normal_form(F.col("text")).alias("form"))
+        both = said.select("doc", F.lit(0).alias("k"), "form").union(decided.select("doc", F.lit(1), "form")).distinct()
+        edges = dedup.near_edges(both.groupBy("doc", "form").agg(F.min("k").alias("k"), F.max("k").alias("last")).select(F.col("doc").alias("g"), F.array(F.xxhash64("form"), "k").alias("n"), "form"))
+        forms = both.select("doc", "form", F.xxhash64("form").alias("h"), "k")
+        decisions = forms.filter("k = 1").select("doc", F.col("h").alias("d"))
+        ends = edges.select(F.col("g").alias("doc"), F.col("a")[0].alias("h"), F.col("b")[0].alias("d")).union(edges.select("g", F.col("b")[0], F.col("a")[0]))
+        close = ends.join(decisions, ["doc", "d"], "left_semi").select("doc", "h").union(decisions.select("doc", F.col("d"))).distinct()
+        fresh = said.withColumn("h", F.xxhash64("form")).join(close, ["doc", "h"], "left_anti")
+        out = unique_texts(fresh.select(F.struct("doc", "level").alias("g"), F.array(F.col("n")[0], F.col("n")[1], F.col("j").cast("long")).alias("n"), "text"))
+        return out.select("g.doc", "g.level", F.lit("architecture").alias("field"), "n", "text")
 
     def _pieces(self) -> DataFrame:
         """``doc, level, field, n, text``: everything that a record is made of."""
@@ -209,7 +290,7 @@ class Briefs:
         low = self.scored.select("doc", "score", _levels(self.levels).alias("l")).filter(F.col("score") < F.col("l.threshold")).groupBy("doc", "l.level").count()
         low = low.select(*at, F.lit("ignored").alias("field"), _at(6).alias("n"), F.concat(F.col("count").cast("string"), F.lit(" low-value paragraph(s) dropped below the "), F.lower("level"), F.lit(" threshold")).alias("text"))
         out = listed
-        for x in (summary, goal, related, said, low):
+        for x in (summary, goal, related, said, *([low] if "ranking" in self.stages else []), *([self._architecture()] if self.own or "decision_extraction" not in self.stages else [])):
             out = out.union(x)
         return out
 
@@ -232,4 +313,9 @@ class Briefs:
         in_chars = T.utf16_length(F.col("title")) + T.utf16_length(F.col("description")) + F.coalesce("chars", F.lit(0))
         ratio = F.when(in_chars == 0, 0.0).otherwise(T.round2(F.greatest(F.lit(0.0), 1.0 - out_chars / in_chars)))
         rows = rows.withColumns({"confidence": F.least(F.lit(0.95), T.round2(points)), "compressionRatio": ratio, "rawChars": in_chars.cast("long"), "emittedChars": out_chars})
-        return self.compressor(rows.select("doc", "level", "issue", "summary", "businessGoal", *LISTS, "relatedIssues", "ignoredContent", "confidence", "compressionRatio", "rawChars", "emittedChars"))
+        if "assembly" not in self.stages:
+            rows = rows.filter(F.lit(False))
+        rows = rows.select("doc", "level", "issue", "summary", "businessGoal", *LISTS, "relatedIssues", "ignoredContent", "confidence", "compressionRatio", "rawChars", "emittedChars")
+        for stage in self.own:
+            rows = stage.apply(rows) if stage.table == "records" else rows
+        return self.compressor(rows)

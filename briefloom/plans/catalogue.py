@@ -87,6 +87,7 @@ def queries() -> dict[str, Query]:
         # sources
         "jira_heads": lambda s, d: src.from_json(_read(s, d, "raw_tickets"), "raw_id", "payload").heads.withColumn("metadata", F.to_json("metadata")),
         "jira_comments": lambda s, d: src.from_json(_read(s, d, "raw_tickets"), "raw_id", "payload").comments,
+        "jira_latest": lambda s, d: src.latest(src.from_json(_read(s, d, "raw_tickets"), "raw_id", "payload"), _read(s, d, "raw_tickets")).heads.select("doc", "key"),
         "comment_order": lambda s, d: _tickets(s, d).comments.select("doc", "no", "author", "body"),
         "raw_context": lambda s, d: src.raw_context(_tickets(s, d)),
         # cleaning and splitting
@@ -249,6 +250,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_nodes": _SQL_NODES,
         "jira_heads": _sql_jira_heads(),
         "jira_comments": _sql_jira_comments(),
+        "jira_latest": f"""WITH {_sql_tickets()}, jk AS (SELECT doc, {_at_path("t", "$.key")} AS key, split_part(doc, '/', 1)::BIGINT AS raw_id FROM jo)
+            SELECT doc, key FROM (SELECT k.doc, k.key, row_number() OVER (PARTITION BY CASE WHEN k.key = '' THEN '/' || k.doc ELSE k.key END ORDER BY r.received_at DESC NULLS LAST, k.doc DESC) AS n FROM jk k LEFT JOIN (SELECT raw_id, max(received_at) AS received_at FROM raw_tickets GROUP BY 1) r USING (raw_id)) WHERE n = 1""",
         "normal_spaces": on_bodies("text", O.spaces("t")),
         "html_hint": on_texts("is_html", f"regexp_matches(t, {O.HTML_HINT})"),
         "html_to_text": on_texts("text", O.html("t")),

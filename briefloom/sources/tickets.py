@@ -56,6 +56,15 @@ def from_json(df: DataFrame, id_col: str, json_col: str) -> Tickets:
     return Tickets(heads, rows.withColumn("bot", is_app(F.col("author"), F.col("account"))).drop("account"))
 
 
+def latest(tickets: Tickets, received: DataFrame, id_col: str = "raw_id", at_col: str = "received_at") -> Tickets:
+    """Tickets of JSON exports without redeliveries: of those with one non-empty key the one of the record received last (of
+    equal times the greatest ``doc``).  ``received`` has the record's id and time; a null time comes first."""
+    at = received.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.max(at_col).alias("at"))
+    dated = tickets.heads.select("doc", "key", F.substring_index("doc", "/", 1).alias("id")).join(at, "id", "left")
+    last = dated.groupBy(F.when(F.col("key") == "", F.concat(F.lit("/"), "doc")).otherwise(F.col("key")).alias("key")).agg(F.max_by("doc", F.struct("at", "doc")).alias("doc")).select("doc")
+    return Tickets(tickets.heads.join(last, "doc", "left_semi"), tickets.comments.join(last, "doc", "left_semi"))
+
+
 def from_tables(tickets: DataFrame, comments: DataFrame) -> Tickets:
     """Normalised tables: of a ticket exported several times the latest row, of a comment delivered several times one."""
     ranked = tickets.filter("ticket_key is not null").groupBy(F.col("ticket_key").alias("doc")).agg(F.max_by(F.struct("src_system", "title", "description", "metadata"), F.struct("exported_at", "ticket_id")).alias("t"))

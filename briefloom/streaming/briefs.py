@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.store import scratch
 from ..plans.briefs import Briefs
 from ..sources.tickets import from_json
 
@@ -16,8 +17,9 @@ def start(payloads: DataFrame, id_col: str, json_col: str, to: str, checkpoint:
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        tickets = from_json(batch, id_col, json_col)
-        Briefs(tickets.heads, tickets.comments, levels).records.write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
+        with scratch(batch.sparkSession):
+            tickets = from_json(batch, id_col, json_col)
+            Briefs(tickets.heads, tickets.comments, levels).records.write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
 
     query = payloads.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()

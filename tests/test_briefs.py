@@ -1,10 +1,13 @@
 """The plan against a plain Python record, on given tables and on small tickets of our own."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from briefloom import cli
 from briefloom.operators.export import rendered
-from briefloom.plans.briefs import Briefs, Stage
+from briefloom.plans.briefs import STAGES, Briefs, Stage
 from briefloom.sources import tickets as src
 
 from . import brute
@@ -59,6 +62,96 @@ def test_own_tickets(spark):
     compare(heads, comments)
 
 
+def test_stage_lists(spark):
+    """Stages left out, moved and added, and architecture notes that no decision holds."""
+    heads = spark.createDataFrame([("a", "K1-1", "T", "<p>We decided to use the cache.</p>", "")], HEADS)
+    said = ["thanks", "We decided to use the cache.", "The gateway has a queue. It must hold.", "The gateway has a queue! It must hold.\n\nDropping the cache is a risk."]
+    comments = spark.createDataFrame([("a", k + 1, "Ann", x, False) for k, x in enumerate(said)], COMMENTS)
+    run = lambda *left_out, more=(), **kw: Briefs(heads, comments, ["FULL"], stages=[*(x for x in STAGES if x not in left_out), *more], **kw).records.first()
+    full = run()
+    assert full["decisions"] == ["We decided to use the cache.", "Dropping the cache is a risk."] and full["constraints"] == ["It must hold."] and full["architecture"] == []
+    assert full["ignoredContent"] == ["1 greeting/acknowledgement comment(s) removed", "2 duplicate/near-duplicate paragraph(s) collapsed"]
+    less = run("noise_filter", "html_cleaning", "risk_extraction")
+    assert less["ignoredContent"] == ["2 duplicate/near-duplicate paragraph(s) collapsed"] and less["summary"] == "<p>We decided to use the cache.</p>" and less["risks"] == []
+    less = run("duplicate_detection", "decision_extraction")
+    assert less["ignoredContent"] == ["1 greeting/acknowledgement comment(s) removed"] and less["decisions"] == [] and less["risks"] == full["risks"]
+    assert Briefs(heads, comments, ["FULL"], stages=STAGES[:-1]).records.count() == 0
+    early = ["html_cleaning", "noise_filter", "block_splitting", *STAGES[4:8], "duplicate_detection", "ranking", "assembly"]
+    assert Briefs(heads, comments, ["FULL"], stages=early).records.first()["decisions"] == full["decisions"]
+    # Paragraphs about the gateway are tagged by a stage of one's own: their sentences become notes unless a decision says the same.
+    tag = Stage("gateway", lambda t: t.union(t.select("doc", "n", F.lit("ARCHITECTURE")).filter("n[0] = 3").distinct()), "tags")
+    both = {r["level"]: r["architecture"] for r in Briefs(heads, comments, ["TINY", "FULL"], stages=[*STAGES, tag]).records.collect()}
+    assert both == dict.fromkeys(["TINY", "FULL"], ["The gateway has a queue.", "It must hold."])
+    for wrong in (["unknown"], [*STAGES, "ranking"], ["assembly", "ranking"], [Stage("x", lambda d: d, "lists")]):
+        with pytest.raises(ValueError):
+            Briefs(heads, comments, stages=wrong)
+
+
+def test_notes_that_decisions_hold(spark):
+    heads = spark.createDataFrame([("a", "K", "T", "We decided to use one queue for all events.", "")], HEADS)
+    comments = spark.createDataFrame([("a", 1, "x", "To use one queue for all events.\nThe cache stays.\nThe large cache stays!", False), ("a", 2, "x", "The cache stays, the large one.", False)], COMMENTS)
+    tag = Stage("all", lambda t: t.sparkSession.createDataFrame([("a", [1, 0], "ARCHITECTURE"), ("a", [2, 0], "ARCHITECTURE")], "doc string, n array<long>, category string").union(t), "tags")
+    got = Briefs(heads, comments, ["SMALL"], stages=[*STAGES, tag]).records.first()
+    assert got["architecture"] == ["The cache stays, the large one."]
+
+
+SAMPLE = {
+    "key": "LIB-12",
+    "fields": {
+        "summary": "Renew loans from the phone",
+        "description": "<p>Readers must renew loans from the phone so that queues at the desk shrink.</p><p>Acceptance criteria</p><ul><li>A loan renews twice at most</li><li>A reserved copy never renews</li><li>The new date shows at once</li></ul>",
+        "issuelinks": [{"outwardIssue": {"key": "LIB-7"}}, {"inwardIssue": {"key": "DESK-3"}}],
+        "comment": {"comments": [
+            {"author": {"displayName": "Ida"}, "body": "We decided to use the loans service for renewals. It already knows the dates."},
+            {"author": {"displayName": "Ida"}, "body": "Agree. We decided to use the loans service for renewals, it already knows the dates."},
+            {"author": {"displayName": "build bot", "accountType": "app"}, "body": "Build #12 passed"},
+            {"author": {"displayName": "Ole"}, "body": "Thanks!"},
+            {"author": {"displayName": "Ole"}, "body": "A caveat: the nightly job may hold the rows for a while, which is slow."},
+            {"author": {"displayName": "Mia"}, "body": "This is blocked by DESK-3 until the desk closes its books."},
+            {"author": {"displayName": "Mia"}, "body": "TODO: tell the desk. The old renewal page looked like this in my notes, with a long list of fields that nobody fills in any more."},
+            {"author": {"displayName": "Mia"}, "body": "2026-01-02 10:00:00 INFO loan 1\n2026-01-02 10:00:01 INFO loan 2\n2026-01-02 10:00:02 ERROR loan 3 failed\nat app.Loans.renew(Loans.java:12)\nat app.Desk.open(Desk.java:44)\nCaused by: app.errors.LockError: row is held\nat app.Rows.lock(Rows.java:7)\nat app.Rows.read(Rows.java:9)"},
+            {"author": {"displayName": "Ida"}, "body": "I walked over to the desk this morning and had a look at how they work with the cards, which was nice and took about an hour."},
+        ]},
+    },
+}
+
+
+def test_sample_ticket(spark):
+    """Floors of the reduction and the order of the levels, on a ticket of our own."""
+    df = spark.createDataFrame([(1, json.dumps(SAMPLE))], "raw_id long, payload string")
+    t = src.from_json(df, "raw_id", "payload")
+    by = {r["level"]: r for r in Briefs(t.heads, t.comments).records.collect()}
+    full = by["FULL"]
+    sizes = [by[k]["emittedChars"] for k in ("TINY", "SMALL", "MEDIUM", "FULL")]
+    assert sizes == sorted(set(sizes)) and full["compressionRatio"] >= 0.30 and by["TINY"]["compressionRatio"] >= 0.60 and full["confidence"] == 0.95
+    assert all(len(r["decisions"]) == 1 and len(r["acceptanceCriteria"]) == 3 for r in by.values())
+    assert full["risks"] == ["A caveat: the nightly job may hold the rows for a while, which is slow."] and full["dependencies"] == ["This is blocked by DESK-3 until the desk closes its books."] and full["todos"] == ["tell the desk."]
+    assert full["relatedIssues"] == ["DESK-3", "LIB-7"] and full["businessGoal"] == ""
+    assert [x.split(" (")[0] for x in full["ignoredContent"]] == ["Log/stack-trace dump removed from comment:8", "1 bot message(s) removed", "1 greeting/acknowledgement comment(s) removed", "1 duplicate/near-duplicate paragraph(s) collapsed"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    one = {"key": "K-1", "fields": {"summary": "S", "description": "We decided to go.\n\nMust hold."}}
+    (tmp_path / "one.json").write_text(json.dumps(one))
+    (tmp_path / "many.json").write_text(json.dumps([one, {"issues": [one, one]}]))
+    (tmp_path / "none.json").write_text("{")
+    (tmp_path / "note.txt").write_text("We decided to go.")
+    run = lambda *a: cli.main([str(x) for x in a], spark)
+    assert run("-i", tmp_path / "one.json", "-l", "tiny", "-f", "MD") == 0 and capsys.readouterr().out.startswith("# K-1 S\n")
+    assert run("-i", tmp_path / "one.json", "-o", tmp_path / "out.json") == 0
+    said = capsys.readouterr().err
+    assert json.loads((tmp_path / "out.json").read_text())["decisions"] == ["We decided to go."] and "reduction" in said and " ms)" in said
+    assert run("-i", tmp_path / "note.txt", "-s", "text") == 0 and '"issue" : "note.txt"' in capsys.readouterr().out
+    assert run("-i", tmp_path / "none.json") == 1
+    assert run("-i", tmp_path / "many.json", "-o", tmp_path / "out") == 0 and "Wrote 3 briefs" in capsys.readouterr().err
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    for wrong in (["-l", "huge"], ["-f", "xml"]):
+        with pytest.raises(SystemExit):
+            run("-i", tmp_path / "one.json", *wrong)
+    with pytest.raises(SystemExit):
+        run("-i", tmp_path / "many.json")
+
+
 def test_clashing_names_and_empty(spark):
     heads = spark.createDataFrame([], HEADS).withColumn("text", F.lit(1)).withColumn("n", F.lit(2))
     comments = spark.createDataFrame([], COMMENTS).withColumn("reason", F.lit(1))

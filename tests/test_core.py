@@ -127,6 +127,27 @@ def test_sources(spark, tmp_path):
         src.from_pasted(spark, " \n")
 
 
+def test_latest_delivery(spark):
+    t = {k: {"key": k, "fields": {"summary": f"{k}", "comment": {"comments": [{"body": "x"}]}}} for k in ("A", "B", "")}
+    rows = [(1, json.dumps([t["A"], t[""]]), 5), (2, json.dumps(t["A"]), 7), (3, json.dumps({"issues": [t["B"], t["A"], t[""]]}), None)]
+    df = spark.createDataFrame(rows, "raw_id long, payload string, received_at long")
+    got = src.latest(src.from_json(df, "raw_id", "payload"), df)
+    assert sorted(r["doc"] for r in got.heads.collect()) == ["1/1", "2/0", "3/0", "3/2"] == sorted(r["doc"] for r in got.comments.collect())
+
+
+def test_contained_forms(spark):
+    rows = [("g", k, x) for k, x in enumerate(["supercalifragilistic12", "xsupercalifragilistic12 yes", "longword12345 longword6789", "a longword12345 longword67890 b", "one two three four five six", "zone two three four five sixty", "one two four five six seven x"])]
+    items = spark.createDataFrame(rows, "g string, n long, form string")
+    forms = [x for _, _, x in rows]
+    want = {(a, b) for a, x in enumerate(forms) for b, y in enumerate(forms) if a != b and len(x) > 20 and x in y}
+    got = dedup.contained(items.filter("length(form) > 20").withColumnRenamed("n", "x"), items.withColumnRenamed("n", "y")).filter("x <> y")
+    assert {(r["x"], r["y"]) for r in got.collect()} == want and len(want) == 3
+    from . import brute
+
+    pairs = {(a, b) for a, x in enumerate(forms) for b, y in enumerate(forms) if a < b and brute.near(x, y)}
+    assert {(r["a"], r["b"]) for r in dedup.near_edges(items).collect()} == pairs
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame([(1, json.dumps({"key": "K-1", "fields": {"summary": "S", "description": "We decided to go."}}))], "raw_id long, payload string").write.json(str(tmp_path / "in/a"))
