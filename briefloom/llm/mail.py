@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import drop, stored
 from ._hashing import chunks, letters_and_digits, minimisers, runs_of, word_hashes
 from .pii import shown
 
@@ -383,9 +383,11 @@ def _shared(texts: DataFrame) -> DataFrame:
     twice = windows.groupBy("h").agg(F.min("id").alias("a"), F.max(F.when(F.col("mail"), F.col("id"))).alias("b")).filter("a < b").select("h")
     places = stored(windows.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("at")))  # of one text
     runs = stored(texts.join(places, "id").mapInPandas(_near, schema))
+    drop(windows, places)
     first = runs.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.when(F.col("mail"), F.col("id"))).alias("last")).filter("first.id < last")
     heirs = stored(runs.filter("mail").select("h", "id").join(first.select("h", F.col("first.id").alias("source"), F.floor(F.col("first.at") / PIECE).cast("int").alias("piece")), "h").filter("source < id").select("id", "source", "piece").distinct())
     wanted = stored(heirs.select("source", "piece").distinct().groupBy("source").agg(F.collect_list("piece").alias("pieces")))
+    drop(runs)
     words = texts.select(F.col("id").alias("source"), "text").join(wanted, "source").mapInPandas(_pieces, "source long, piece int, words array<long>").dropDuplicates(["source", "piece"])
     return heirs.join(words, ["source", "piece"]).groupBy("id").agg(F.collect_list(F.struct("source", "piece", "words")).alias("pieces"))
 

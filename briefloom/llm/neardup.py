@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import drop, drop_since, mark, stored
 from ..operators.graph import components
 from ._hashing import chunks, latin_and_digits, mix, runs_of, word_hashes
 
@@ -436,11 +436,15 @@ def near_pairs(df: DataFrame, id_col: str, tokens: Column | Runs, threshold: flo
     rows = df.select(F.col(id_col).cast("long").alias("id"), held.alias("tokens")).filter("id is not null and tokens is not null")
     members = stored(rows.mapInArrow(_records(width, least, False), "id long, key long").distinct())
     sets = stored(rows.mapInArrow(_records(width, least, True), "key long, hashes array<long>").groupBy("key").agg(F.first("hashes").alias("hashes")))
+    before = mark()
     may = stored(set_pairs(sets, threshold, trees))
+    drop_since(before, may)
     one = lambda c: sets.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}"))
     common = F.size(F.array_intersect("ha", "hb"))
     links = may.join(one("a"), "a").join(one("b"), "b").filter(common >= threshold * (F.size("ha") + F.size("hb") - common)).select("a", "b")
-    return stored(links), members
+    links = stored(links)
+    drop(sets, may)
+    return links, members
 
 
 def near_duplicates(df: DataFrame, id_col: str, tokens: Column | Runs, threshold: float = 0.8, least: int = 1) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import drop, stored
 from ._hashing import Prefix, chunks, codepoints, minimisers
 
 #: Longest token, in characters.  A span of n characters holds the window of n - TOKEN + 1 at one of its first TOKEN places.
@@ -113,11 +113,13 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before = Window.partitionBy("doc_id").orderBy("pos")  # one record's token starts: bounded by its text
     last = F.last(F.when(F.col("hit"), F.col("pos")), ignorenulls=True).over(before.rangeBetween(Window.unboundedPreceding, 1 - TOKEN))
     full = stored(full.withColumn("open", ~(F.col("hit") & F.coalesce(F.col("pos") - last <= span, F.lit(False)))))
+    drop(cuts)
     # The same token starts of the other records are needed too, as that is where an open one's windows have their partners.
     gaps = full.join(full.filter("open").select("q").distinct(), "q", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("cuts"))
     # Only the texts that hold such a place are moved: their ids are a table of their own, broadcast while it is small.
     ids = stored(full.select("doc_id").distinct())
     places = stored(docs.join(ids, "doc_id", "left_semi").join(gaps, "doc_id").mapInPandas(_places(span), "doc_id long, pos int, s long, z long"))
+    drop(ids)
     found = places.join(_repeated(places, "s", "z"), ["s", "z"], "left_semi")
 
     starts = found.select("doc_id", "pos").union(full.filter("hit").select("doc_id", "pos")).distinct()
