@@ -126,8 +126,13 @@ def is_bot_author(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(vocab.words(vocab.FILTER_BOTS))
 
 
+#: Messages that builds and deployments write; and signs without words.
+_BOT_BODY = r"(?i)\A(?:build\s+#?\d+\s+(?:started|succeeded|failed|passed)|deployment\s+(?:started|completed|triggered)|branch\s+\S+\s+was\s+(?:created|deleted))[^\n]*\z"
+_SIGNS = r"\A[\p{So}\p{Sk}\p{Cs}:;()\[\]{}\-_*+~^\s]+\z"
+
+
 def is_bot_body(c: Column) -> Column:
-    return c.rlike(r"(?i)\A(?:build\s+#?\d+\s+(?:started|succeeded|failed|passed)|deployment\s+(?:started|completed|triggered)|branch\s+\S+\s+was\s+(?:created|deleted))[^\n]*\z")
+    return c.rlike(_BOT_BODY)
 
 
 def is_greeting(c: Column) -> Column:
@@ -135,7 +140,7 @@ def is_greeting(c: Column) -> Column:
 
 
 def is_symbols(c: Column) -> Column:
-    return c.rlike(r"\A[\p{So}\p{Sk}\p{Cs}:;()\[\]{}\-_*+~^\s]+\z")
+    return c.rlike(_SIGNS)
 
 
 def noise_reason(text: Column, author: Column, bot: Column) -> Column:
@@ -168,6 +173,7 @@ def estimated_tokens(c: Column) -> Column:
 
 
 # ---- extractors -------------------------------------------------------------------------------------------------
+# How list items, scenario steps and headings of criteria begin.
 _MARKER = r"^\s*(?:[-*+]\s*(?:\[[ xX]\]\s*)?|\d+[.)]\s+)(.+)$"
 _GHERKIN = rf"(?i)^\s*(?:[-*]\s*)?{vocab.alternation(vocab.GHERKIN)}\b\s+.+$"
 _HEADING = rf"(?i)^\s*(?:h\d\.\s*|#{{1,6}}\s*|\*{{0,2}})\s*{vocab.alternation(vocab.SECTION)}\b.*$"

@@ -43,40 +43,46 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return forms.filter(F.col("fy").contains(F.col("fx"))).select("g", "x", "y")
 
 
-def near_edges(items: DataFrame) -> DataFrame:
+def near_edges(items: DataFrame, across: bool = False) -> DataFrame:
     """``g, a, b`` (a < b) of near-duplicates among ``items`` (``g`` group, ``n`` unique order in it, ``form``
-    distinct normal forms in it).
+    distinct normal forms in it); with ``across`` only of those one of which is ``kept``, a further column.
 
     Words and texts go by hashes up to the candidates; what these join is compared as it is.
     """
     ws = _words(F.col("form"))
-    rows = items.filter("form <> ''").select("g", F.xxhash64("g", "n").alias("i"), "form", F.array_distinct(F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0)))).alias("inner"), F.array(ws[0], F.element_at(ws, -1)).alias("ends"))
+    side = F.col("kept") if across else F.lit(False)
+    rows = items.filter("form <> ''").select("g", F.xxhash64("g", "n").alias("i"), side.alias("side"), "form", F.array_distinct(F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0)))).alias("inner"), F.array(ws[0], F.element_at(ws, -1)).alias("ends"))
     rows = rows.withColumn("ends", F.array_except("ends", "inner"))
     word = lambda inside: lambda x: F.struct(F.xxhash64(F.col("g"), x).alias("w"), F.lit(inside).alias("inside"))
-    words = rows.select("i", (F.size("inner") + F.size("ends")).alias("m"), F.when(F.length("form") > T.CONTAINED, F.size("inner")).otherwise(-1).alias("held"), F.explode(F.concat(F.transform("inner", word(True)), F.transform("ends", word(False)))).alias("x")).select("i", "m", "held", "x.w", "x.inside")
+    words = rows.select("i", "side", (F.size("inner") + F.size("ends")).alias("m"), F.when(F.length("form") > T.CONTAINED, F.size("inner")).otherwise(-1).alias("held"), F.explode(F.concat(F.transform("inner", word(True)), F.transform("ends", word(False)))).alias("x")).select("i", "side", "m", "held", "x.w", "x.inside")
     # What stands in one text alone joins nothing: it comes first in the order of rarity and is only counted.
     counts = words.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1")
     shared = stored(words.join(counts, "w"))
-    per = stored(shared.groupBy("i", "m", "held").agg(F.array_sort(F.collect_list(F.struct("df", "w", "inside"))).alias("ws")))  # of one text
+    per = stored(shared.groupBy("i", "side", "m", "held").agg(F.array_sort(F.collect_list(F.struct("df", "w", "inside"))).alias("ws")))  # of one text
     # Sets with a Jaccard of 3/4 share one of their rarest ceil(n / 4) words (and one more when n divides).  A word further
     # back leaves too few behind it for a pair that meets there first.
     alone = F.col("m") - F.size("ws")
     lead = (F.col("m") - F.ceil(F.col("m") * T.NEAR) + 1 - alone).cast("int")
-    prefix = per.filter(lead > 0).select("i", "m", alone.alias("alone"), F.posexplode(F.slice("ws", F.lit(1), lead)).alias("at", "x")).select("i", "m", (F.col("at") + F.col("alone")).alias("at"), "x.w")
-    a, b = (prefix.select(F.col("i").alias(c), F.col("m").alias(f"m{c}"), F.col("at").alias(f"at{c}"), "w") for c in ("a", "b"))
+    prefix = per.filter(lead > 0).select("i", "side", "m", alone.alias("alone"), F.posexplode(F.slice("ws", F.lit(1), lead)).alias("at", "x")).select("i", "side", "m", (F.col("at") + F.col("alone")).alias("at"), "x.w")
+    a, b = (prefix.select(F.col("i").alias(c), F.col("side").alias(f"s{c}"), F.col("m").alias(f"m{c}"), F.col("at").alias(f"at{c}"), "w") for c in ("a", "b"))
     common = F.ceil((F.col("ma") + F.col("mb")) * T.NEAR / (1 + T.NEAR) - 1e-9)
-    fits = (F.col("a") < F.col("b")) & (F.least("ma", "mb") >= T.NEAR * F.greatest("ma", "mb")) & (F.least(F.col("ma") - F.col("ata"), F.col("mb") - F.col("atb")) >= common)
+    meet = F.col("sa") & ~F.col("sb") if across else F.col("a") < F.col("b")
+    fits = meet & (F.least("ma", "mb") >= T.NEAR * F.greatest("ma", "mb")) & (F.least(F.col("ma") - F.col("ata"), F.col("mb") - F.col("atb")) >= common)
     alike = a.join(b, "w").filter(fits).select("a", "b")
     # All words within a contained text stand in the other one too, the rarest in few.
     inside = F.filter("ws", lambda x: x["inside"])
-    rarest = per.filter((F.col("held") > 0) & (F.size(inside) == F.col("held"))).select(F.col("i").alias("a"), F.get(inside, F.lit(0))["w"].alias("w"))
-    within = rarest.join(shared.filter("held >= 0").select(F.col("i").alias("b"), "w"), "w").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rarest = per.filter((F.col("held") > 0) & (F.size(inside) == F.col("held"))).select(F.col("i").alias("a"), F.col("side").alias("sa"), F.get(inside, F.lit(0))["w"].alias("w"))
+    others = shared.filter("held >= 0").select(F.col("i").alias("b"), F.col("side").alias("sb"), "w")
+    within = rarest.join(others, "w").filter("sa <> sb" if across else "a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = alike.union(within).distinct()
     one = lambda g, i, n, f: items.select(F.col("g").alias(g), F.xxhash64("g", "n").alias(i), F.col("n").alias(n), F.col("form").alias(f))
     both = pairs.join(one("g", "a", "na", "fa"), "a").join(one("gb", "b", "nb", "fb"), "b").filter(F.col("g") == F.col("gb"))
     found = both.filter(T.near_duplicate(F.col("fa"), F.col("fb"))).select("g", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     long_ = items.filter(F.length("form") > T.CONTAINED).select("g", "n", "form")
     short = contained(long_.filter(F.size(ws) < 3).withColumnRenamed("n", "x"), long_.withColumnRenamed("n", "y")).filter("x <> y")
+    if across:
+        sides = lambda c, k: items.select("g", F.col("n").alias(c), F.col("kept").alias(k))
+        short = short.join(sides("x", "kx"), ["g", "x"]).join(sides("y", "ky"), ["g", "y"]).filter("kx <> ky")
     return found.union(short.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
@@ -112,8 +118,30 @@ def first_kept(edges: DataFrame) -> DataFrame:
 
 def collapse(items: DataFrame) -> DataFrame:
     """``items`` (``g, n, form``; n unique in g) with ``kept_by``: its own n for a kept text, else that of the first
-    kept near-duplicate before it."""
-    reps = stored(items.groupBy("g", "form").agg(F.min("n").alias("n")))
-    gone = first_kept(near_edges(reps))
+    kept near-duplicate before it.
+
+    Where ``items`` has a column ``batch``, a number that grows with n, batches are decided one after another: what the
+    kept texts of one drop takes no part in the next, so that many variants of one text cost a row each and not a pair.
+    """
+    batch = F.min("batch") if "batch" in items.columns else F.min(F.lit(0))
+    reps = stored(items.groupBy("g", "form").agg(F.min("n").alias("n"), batch.alias("batch")))
+    batches = sorted(r[0] for r in reps.select("batch").distinct().collect()) if "batch" in items.columns else [0]  # a few numbers
+    rest, parts = reps, []
+    for k, b in enumerate(batches):
+        now = rest.filter(F.col("batch") == b)
+        gone = first_kept(near_edges(now.select("g", "n", "form")))
+        if k == len(batches) - 1:
+            parts.append(gone)
+            break
+        gone = stored(gone)
+        later = rest.filter(F.col("batch") > b)
+        kept = now.join(gone, ["g", "n"], "left_anti")
+        both = stored(kept.select("g", "n", "form", F.lit(True).alias("kept")).union(later.select("g", "n", "form", F.lit(False))))
+        hit = stored(near_edges(both, across=True).groupBy("g", F.col("b").alias("n")).agg(F.min("a").alias("kept_by")))
+        parts += [gone, hit]
+        rest = stored(later.join(hit, ["g", "n"], "left_anti"))
+    gone = parts[0]
+    for x in parts[1:]:
+        gone = gone.union(x)
     roots = reps.join(gone, ["g", "n"], "left").select("g", "form", F.coalesce("kept_by", "n").alias("kept_by"))
-    return items.join(roots, ["g", "form"])
+    return items.drop("batch").join(roots, ["g", "form"])

@@ -19,6 +19,8 @@ from ..functions import vocab
 from ..operators import clean, dedup, graph
 from ..operators.store import stored
 
+#: Sources in the first batch of a ticket that is searched for near-duplicates; each batch after it is twice as large.
+_BATCH = 4096
 #: Parts of a ticket that its short criteria or constraints are compared with one by one.
 _SHARES = 16
 LISTS = ["architecture", "decisions", "constraints", "acceptanceCriteria", "risks", "todos", "dependencies"]
@@ -146,9 +148,9 @@ class Briefs:
         """``doc, n, no, k, text, kept_by, form``: paragraphs by their places ``n`` (source and paragraph), and the first kept
         near-duplicate of each."""
         live = self.sources.filter("reason is null").select("doc", "no", F.posexplode(T.blocks(F.col("text"))).alias("k", "text"))
-        rows = live.select(F.col("doc").alias("g"), _at("no", "k").alias("n"), "no", "k", "text", T.normal_form(F.col("text")).alias("form"))
+        rows = live.select(F.col("doc").alias("g"), _at("no", "k").alias("n"), "no", "k", "text", T.normal_form(F.col("text")).alias("form"), F.floor(F.log2(F.col("no") / _BATCH + 1)).cast("int").alias("batch"))
         rows = stored(rows if "block_splitting" in self.stages else rows.filter(F.lit(False)))
-        rows = dedup.collapse(rows) if "duplicate_detection" in self.stages else rows.withColumn("kept_by", F.col("n"))
+        rows = dedup.collapse(rows) if "duplicate_detection" in self.stages else rows.drop("batch").withColumn("kept_by", F.col("n"))
         return self._with_own("blocks", rows.withColumnRenamed("g", "doc"))
 
     @cached_property

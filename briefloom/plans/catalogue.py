@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..functions.tokens import exact_tokens
 from ..operators import clean, dedup, export, nested
 from ..sources import tickets as src
 from . import oracles as O
@@ -135,6 +136,7 @@ def queries() -> dict[str, Query]:
         "document_briefs": lambda s, d: _flat(Briefs(src.from_documents(_read(s, d, "documents")).heads, src.from_documents(_read(s, d, "documents")).comments, ["FULL"]).records),
         # metrics
         "token_estimate": _on_bodies("tokens", T.estimated_tokens),
+        "token_exact": lambda s, d: _bodies(s, d).select("comment_id", exact_tokens()(F.col("t")).alias("tokens")),
         "context_reduction": _context_reduction,
     }
     return out

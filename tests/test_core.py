@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from briefloom.functions import text as T
+from briefloom.functions import tokens
 from briefloom.operators import dedup, graph, nested
 from briefloom.operators.order import numbered
 from briefloom.plans import catalogue
@@ -106,6 +107,32 @@ def test_collapse_order(spark):
     assert got == {(g, n): k for g in ("a", "b") for n, k in want.items()}
 
 
+def test_collapse_in_batches(spark):
+    """A family of variants and other texts, decided in batches of any size as one after another."""
+    import random
+
+    from . import brute
+
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(12)]
+    forms = []
+    while len(forms) < 60:
+        x = list(base) if rng.random() < 0.6 else [f"v{rng.randrange(20)}" for _ in range(rng.randrange(1, 9))]
+        for _ in range(rng.randrange(3)):
+            x[rng.randrange(len(x))] = f"z{rng.randrange(9)}"
+        t = " ".join(x[rng.randrange(2) :])
+        forms += [t] if t not in forms else []
+    forms[20:20] = ["supercalifragilistic12", "one xsupercalifragilistic12 more"]
+    want, kept = {}, []
+    for n, f in enumerate(forms):
+        want[n] = next((k for k in kept if brute.near(forms[k], f)), n)
+        kept += [n] if want[n] == n else []
+    items = spark.createDataFrame(list(enumerate(forms)), "n long, form string").withColumn("g", F.lit("g"))
+    for width in (100, 25, 7):
+        got = {r["n"]: r["kept_by"] for r in dedup.collapse(items.withColumn("batch", F.floor(F.col("n") / width))).collect()}
+        assert got == want and 3 < len(kept) < 50
+
+
 def test_components_and_order(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(50, 40), (40, 45), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(edges, "a", "b").collect()}
@@ -127,6 +154,13 @@ def test_sources(spark, tmp_path):
         src.from_pasted(spark, " \n")
 
 
+def test_exact_tokens(spark):
+    path, pattern = tokens.default_vocabulary()
+    rows = [(1, "hello world"), (2, None), (3, ""), (4, "word " * 30_000), (5, "漢字 é 🎉")]
+    got = {r["id"]: r["n"] for r in spark.createDataFrame(rows, "id long, t string").select("id", tokens.exact_tokens()(F.col("t")).alias("n")).collect()}
+    assert got == {k: None if x is None else len(tokens.encoder(path, pattern).encode_ordinary(x)) for k, x in rows} and got[1] == 2
+
+
 def test_latest_delivery(spark):
     t = {k: {"key": k, "fields": {"summary": f"{k}", "comment": {"comments": [{"body": "x"}]}}} for k in ("A", "B", "")}
     rows = [(1, json.dumps([t["A"], t[""]]), 5), (2, json.dumps(t["A"]), 7), (3, json.dumps({"issues": [t["B"], t["A"], t[""]]}), None)]
