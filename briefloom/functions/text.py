@@ -226,7 +226,7 @@ def without_label(s: Column) -> Column:
 
 
 #: What a block with section items or scenarios holds somewhere, for a quick look before.
-_CRITERIA_CUE = rf"(?im)^\s*(?:h\d\.\s*|#{{1,6}}\s*|\*{{0,2}})\s*{vocab.alternation(vocab.SECTION)}\b|^\s*(?:[-*]\s*)?{vocab.alternation(vocab.GHERKIN)}\b\s"
+_CRITERIA_CUE = rf"(?im){vocab.alternation(vocab.SECTION)}|^[\s&&[^\n]]*(?:[-*]\s*)?{vocab.alternation(vocab.GHERKIN)}\b\s"
 
 
 def may_hold_criteria(text: Column) -> Column:

@@ -54,7 +54,10 @@ def near_edges(items: DataFrame, across: bool = False) -> DataFrame:
     rows = items.filter("form <> ''").select("g", F.xxhash64("g", "n").alias("i"), side.alias("side"), "form", F.array_distinct(F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0)))).alias("inner"), F.array(ws[0], F.element_at(ws, -1)).alias("ends"))
     rows = rows.withColumn("ends", F.array_except("ends", "inner"))
     word = lambda inside: lambda x: F.struct(F.xxhash64(F.col("g"), x).alias("w"), F.lit(inside).alias("inside"))
-    words = rows.select("i", "side", (F.size("inner") + F.size("ends")).alias("m"), F.when(F.length("form") > T.CONTAINED, F.size("inner")).otherwise(-1).alias("held"), F.explode(F.concat(F.transform("inner", word(True)), F.transform("ends", word(False)))).alias("x")).select("i", "side", "m", "held", "x.w", "x.inside")
+    held = F.when(F.length("form") > T.CONTAINED, F.size("inner")).otherwise(-1)
+    # Only numbers go along with the exploded words: a list that did would be copied for each of them.
+    rows = rows.select("i", "side", (F.size("inner") + F.size("ends")).alias("m"), held.alias("held"), F.concat(F.transform("inner", word(True)), F.transform("ends", word(False))).alias("all"))
+    words = rows.select("i", "side", "m", "held", F.explode("all").alias("x")).select("i", "side", "m", "held", "x.w", "x.inside")
     # What stands in one text alone joins nothing: it comes first in the order of rarity and is only counted.
     counts = words.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1")
     shared = stored(words.join(counts, "w"))
@@ -63,7 +66,8 @@ def near_edges(items: DataFrame, across: bool = False) -> DataFrame:
     # back leaves too few behind it for a pair that meets there first.
     alone = F.col("m") - F.size("ws")
     lead = (F.col("m") - F.ceil(F.col("m") * T.NEAR) + 1 - alone).cast("int")
-    prefix = per.filter(lead > 0).select("i", "side", "m", alone.alias("alone"), F.posexplode(F.slice("ws", F.lit(1), lead)).alias("at", "x")).select("i", "side", "m", (F.col("at") + F.col("alone")).alias("at"), "x.w")
+    prefix = per.filter(lead > 0).select("i", "side", "m", alone.alias("alone"), F.slice("ws", F.lit(1), lead).alias("some"))
+    prefix = prefix.select("i", "side", "m", "alone", F.posexplode("some").alias("at", "x")).select("i", "side", "m", (F.col("at") + F.col("alone")).alias("at"), "x.w")
     a, b = (prefix.select(F.col("i").alias(c), F.col("side").alias(f"s{c}"), F.col("m").alias(f"m{c}"), F.col("at").alias(f"at{c}"), "w") for c in ("a", "b"))
     common = F.ceil((F.col("ma") + F.col("mb")) * T.NEAR / (1 + T.NEAR) - 1e-9)
     meet = F.col("sa") & ~F.col("sb") if across else F.col("a") < F.col("b")
