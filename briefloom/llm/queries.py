@@ -60,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lambda s, d: _both(lambda df, i, t: pii.mentions(df, i, t, _people(s, d)).select("rec_id", "kind", "start_pos"), s, d).distinct(),
         "p3_masked": lambda s, d: _both(lambda df, i, t: pii.masked(df, i, t, _people(s, d)), s, d),
         "p4_found": lambda s, d: mail.old_lines(read(s, d, "ticket_comments")),
+        "p4_inherited": lambda s, d: mail.line_reasons(read(s, d, "ticket_comments")).filter(F.col("why") == mail.INHERITED).select(F.col("id").alias("comment_id"), "line_no"),
         "p4_reasons": lambda s, d: mail.line_reasons(read(s, d, "ticket_comments")).groupBy("why").agg(F.count("*").alias("n_lines"), F.countDistinct("id").alias("n_mails")),
         "p4_new_text": lambda s, d: mail.newly_written(read(s, d, "ticket_comments")).select("id", "new_text"),
         "p5_found": lambda s, d: neardup.near_duplicates(_comments(s, d), "comment_id", neardup.Runs(F.col("body")), 0.75, 30),

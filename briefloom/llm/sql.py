@@ -106,5 +106,16 @@ P8_SHARE = f"""WITH {_SHARED}, n AS (SELECT doc_id, max(length(text))::BIGINT AS
     SELECT doc_id, n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0)::DOUBLE / n_chars::DOUBLE ELSE 0.0::DOUBLE END AS shared_part FROM n LEFT JOIN x USING (doc_id)"""
 
 
+#: Lines of mails whose words all lie in runs of 14 words that an earlier message of the thread holds.
+P4_INHERITED = r"""WITH m AS (SELECT DISTINCT comment_id AS id, ticket_key AS g, coalesce(channel = 'email', false) AS mail, replace(body, chr(13) || chr(10), chr(10)) AS t FROM ticket_comments WHERE comment_id IS NOT NULL AND ticket_key IS NOT NULL AND body IS NOT NULL),
+    l AS (SELECT id, g, mail, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM m),
+    w AS (SELECT id, g, mail, n, unnest(regexp_extract_all(lower(line), '[\p{L}\p{N}]+')) AS x, generate_subscripts(regexp_extract_all(lower(line), '[\p{L}\p{N}]+'), 1) AS k FROM l),
+    p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id, g ORDER BY n, k) AS p FROM w),
+    r AS MATERIALIZED (SELECT id, g, mail, p, string_agg(x, ' ') OVER o AS s FROM p WINDOW o AS (PARTITION BY id, g ORDER BY p ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) QUALIFY count(*) OVER o = 14),
+    h AS (SELECT r.id, r.g, r.p FROM r JOIN (SELECT g, s, min(id) AS first FROM r GROUP BY g, s) f ON f.g = r.g AND f.s = r.s WHERE r.mail AND f.first < r.id),
+    c AS (SELECT p.id, p.n, coalesce(max(h.p) OVER (PARTITION BY p.id, p.g ORDER BY p.p) >= p.p - 13, false) AS held FROM p LEFT JOIN h ON h.id = p.id AND h.g = p.g AND h.p = p.p WHERE p.mail)
+    SELECT id AS comment_id, n::INT AS line_no FROM c GROUP BY id, n HAVING bool_and(held)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _look_alikes(), "p2_consistent_text": _consistent(), "p5_found": P5, "p5_groups": P5_GROUPS, "p6_placed": P6_PLACED, "p6_placed_dot": P6_PLACED, "p6_limits": P6_LIMITS, "p6_limits_dot": P6_LIMITS, "p7_found": P7, "p8_found": P8, "p8_shared_share": P8_SHARE}
+    return {"p2_found": _look_alikes(), "p2_consistent_text": _consistent(), "p4_inherited": P4_INHERITED, "p5_found": P5, "p5_groups": P5_GROUPS, "p6_placed": P6_PLACED, "p6_placed_dot": P6_PLACED, "p6_limits": P6_LIMITS, "p6_limits_dot": P6_LIMITS, "p7_found": P7, "p8_found": P8, "p8_shared_share": P8_SHARE}
