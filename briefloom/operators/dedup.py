@@ -78,7 +78,7 @@ def near_edges(items: DataFrame, across: bool = False) -> DataFrame:
     rarest = per.filter((F.col("held") > 0) & (F.size(inside) == F.col("held"))).select(F.col("i").alias("a"), F.col("side").alias("sa"), F.get(inside, F.lit(0))["w"].alias("w"))
     others = shared.filter("held >= 0").select(F.col("i").alias("b"), F.col("side").alias("sb"), "w")
     within = rarest.join(others, "w").filter("sa <> sb" if across else "a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = alike.union(within).distinct()
+    pairs = stored(alike.union(within).distinct())  # few numbers: the texts that they name are joined where they lie
     one = lambda g, i, n, f: items.select(F.col("g").alias(g), F.xxhash64("g", "n").alias(i), F.col("n").alias(n), F.col("form").alias(f))
     both = pairs.join(one("g", "a", "na", "fa"), "a").join(one("gb", "b", "nb", "fb"), "b").filter(F.col("g") == F.col("gb"))
     found = both.filter(T.near_duplicate(F.col("fa"), F.col("fb"))).select("g", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
