@@ -129,7 +129,7 @@ def collapse(items: DataFrame) -> DataFrame:
     """
     batch = F.min("batch") if "batch" in items.columns else F.min(F.lit(0))
     reps = stored(items.groupBy("g", "form").agg(F.min("n").alias("n"), batch.alias("batch")))
-    batches = sorted(r[0] for r in reps.select("batch").distinct().collect()) if "batch" in items.columns else [0]  # a few numbers
+    batches = sorted(r[0] for r in reps.select("batch").distinct().collect()) or [0]  # a few numbers
     rest, parts = reps, []
     for k, b in enumerate(batches):
         now = rest.filter(F.col("batch") == b)

@@ -131,6 +131,7 @@ def test_collapse_in_batches(spark):
     for width in (100, 25, 7):
         got = {r["n"]: r["kept_by"] for r in dedup.collapse(items.withColumn("batch", F.floor(F.col("n") / width))).collect()}
         assert got == want and 3 < len(kept) < 50
+    assert dedup.collapse(items.limit(0).withColumn("batch", F.lit(0))).count() == 0
 
 
 def test_components_and_order(spark):
