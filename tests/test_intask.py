@@ -48,7 +48,7 @@ def test_collapse_of_small_groups_takes_few_jobs(spark):
         dedup.collapse(items).collect()
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
-    assert 0 < len(sc.statusTracker().getJobIdsForGroup("few jobs")) <= 8  # by joins some forty
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("few jobs")) <= 8  # the joins take a job or more for each round
 
 
 @pytest.mark.parametrize("name", ["near_dup_pairs", "plan_extracts", "section_gate"])
