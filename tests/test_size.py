@@ -1,8 +1,10 @@
 """What a run leaves on disk and in the driver, and what it looks at."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from briefloom.operators import store
+from briefloom.operators import intask, store
 from briefloom.operators.store import stored
 from briefloom.plans.briefs import Briefs
 from briefloom.sources import tickets as src
@@ -46,3 +48,14 @@ def test_comments_of_tickets_that_are_not_there(spark):
     want = rows(every.comments.join(every.heads.select("doc"), "doc", "left_semi"))
     assert want == rows(known.comments) and len(want) < every.comments.count()
     assert rows(Briefs(*every[:2], ["FULL"]).records) == rows(Briefs(*known[:2], ["FULL"], known=True).records)
+
+
+def test_few_candidates_are_compared_word_by_word(monkeypatch):
+    r, seen = random.Random(1), []
+    # Three rare words in common, the others not: sets meet, and are far from alike.
+    forms = [" ".join([f"r{k % 20}a", f"r{k % 20}b", f"r{k % 20}c", *r.sample([f"w{x}" for x in range(60)], 14)]) for k in range(400)]
+    forms += [f + " more" for f in forms[:5]]
+    monkeypatch.setattr(intask, "_alike", lambda c, m, f=intask._alike: seen.append(1) or f(c, m))
+    found = list(intask.links(forms))
+    monkeypatch.setattr(intask, "_FEW", 10**9)
+    assert len(seen) < 100 and found == sorted(intask.links(forms), key=lambda x: (x[1], x[0]))
