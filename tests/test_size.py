@@ -59,3 +59,10 @@ def test_few_candidates_are_compared_word_by_word(monkeypatch):
     found = list(intask.links(forms))
     monkeypatch.setattr(intask, "_FEW", 10**9)
     assert len(seen) < 100 and found == sorted(intask.links(forms), key=lambda x: (x[1], x[0]))
+
+
+def test_levels_share_a_row_a_key_and_blocks_hold_no_forms(spark):
+    plan = Briefs(*_tickets(spark), known=True)
+    assert plan.blocks.columns == ["doc", "n", "no", "k", "text", "kept_by"]
+    rows = lambda names: sorted(map(str, Briefs(*_tickets(spark), names, known=True).records.filter("level = 'SMALL'").select("doc", "relatedIssues").collect()))
+    assert rows(["TINY", "SMALL", "FULL"]) == rows(["SMALL"])
