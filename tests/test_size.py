@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from briefloom.operators import intask, store
+from briefloom.functions import text as T
+from briefloom.operators import intask, marks, store
 from briefloom.operators.store import stored
 from briefloom.plans.briefs import Briefs
 from briefloom.sources import tickets as src
@@ -66,3 +67,21 @@ def test_levels_share_a_row_a_key_and_blocks_hold_no_forms(spark):
     assert plan.blocks.columns == ["doc", "n", "no", "k", "text", "kept_by"]
     rows = lambda names: sorted(map(str, Briefs(*_tickets(spark), names, known=True).records.filter("level = 'SMALL'").select("doc", "relatedIssues").collect()))
     assert rows(["TINY", "SMALL", "FULL"]) == rows(["SMALL"])
+
+
+def test_marks_are_what_expressions_find(spark):
+    texts = ["We decided to go. It must work! (The team) so that\nTODO: risky é", "Ünder must. émust x", "  a\r\nb. \x0b C will not use it", "ſlow K. It is SLOW", "x.  \n\n(we need to add)", "no", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").union(_tables(spark)[1].select(F.explode(T.blocks(F.coalesce("body", F.lit(""))))))
+    each = F.transform(T.sentences(F.col("text")), lambda x, i: F.struct(i.alias("j"), x.alias("text"), *[c.alias(k) for k, c in T.cues(x).items()]))
+    told = lambda d: sorted(map(str, d.collect()))
+    want = rows.select("text", F.explode(each).alias("x")).select("text", "x.j", F.col("x.text").alias("s"), *[f"x.{k}" for k in T.CUES]).filter(" or ".join(T.CUES))
+    found = marks.marked(rows).select("text", F.explode("said").alias("x")).select("text", "x.j", F.col("x.text").alias("s"), *[f"x.{k}" for k in T.CUES])
+    plain = "octet_length(s) = length(s)"
+    assert told(want.filter(plain)) == told(found.filter(plain)) and not want.join(found, ["text", "j", "s"], "left_anti").count()
+    may = marks.marked(rows).filter((T.is_goal_block(F.col("text")) & ~F.col("goal")) | (T.is_log_dump(F.col("text")) & ~F.col("log")) | ((F.size(T.issue_keys(F.col("text"))) > 0) & ~F.col("keyed")) | ((F.size(T.section_items(F.col("text"))) + F.size(T.scenarios(F.col("text"))) > 0) & ~F.col("listed")))
+    assert not may.count()
+
+
+def test_scores_move_no_texts(spark):
+    plan = Briefs(*_tickets(spark), known=True)
+    assert "text" not in plan.scored.columns and plan.kept._stored_at == plan.blocks._stored_at
