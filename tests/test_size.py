@@ -85,3 +85,9 @@ def test_marks_are_what_expressions_find(spark):
 def test_scores_move_no_texts(spark):
     plan = Briefs(*_tickets(spark), known=True)
     assert "text" not in plan.scored.columns and plan.kept._stored_at == plan.blocks._stored_at
+
+
+def test_records_gather_a_row_for_all_levels(spark):
+    b = Briefs(*_tickets(spark), known=True)
+    listed = b._pieces().filter("field in ('decisions', 'acceptanceCriteria', 'constraints', 'risks', 'todos', 'dependencies')")
+    assert 0 < listed.count() == b.lists.count()  # the FULL level has them all
