@@ -91,3 +91,10 @@ def test_records_gather_a_row_for_all_levels(spark):
     b = Briefs(*_tickets(spark), known=True)
     listed = b._pieces().filter("field in ('decisions', 'acceptanceCriteria', 'constraints', 'risks', 'todos', 'dependencies')")
     assert 0 < listed.count() == b.lists.count()  # the FULL level has them all
+
+
+def test_length_of_the_raw_context_gathers_no_text(spark):
+    t = src.from_tables(*_tables(spark), known=True)
+    sizes, told = src.raw_context_length(t), lambda d: sorted(map(tuple, d.collect()))
+    assert told(sizes) == told(src.raw_context(t).select("doc", F.length("text").cast("long")))
+    assert "collect_list" not in sizes._jdf.queryExecution().optimizedPlan().toString()
