@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,22 @@ def test_queries_are_the_same_for_groups_of_any_size(spark, monkeypatch, name):
     monkeypatch.setattr(intask, "ROWS", 12)
     monkeypatch.setattr(briefs, "_PAIRS", 2)
     assert small and rows() == small
+
+
+def test_linked_texts_fold_without_a_look_at_every_slot(monkeypatch):
+    r, seen = random.Random(3), []
+    # Each text nearly repeats the two before and after it alone, so that one linked set folds to many slots.
+    texts = [" ".join(f"w{x}" for x in range(k, k + 20)) + r.choice(["", "!", "..."]) for k in range(600)]
+    texts += r.sample(texts, 60)
+    forms = [t.rstrip("!.") for t in texts]
+    sets, slots = [set(f.split()) for f in forms], []
+    for i, t in enumerate(texts):
+        s = next((s for s in slots if len(sets[s[1]] & sets[i]) >= 0.75 * len(sets[s[1]] | sets[i])), None)
+        if s is None:
+            slots.append([i, i])
+        elif len(t) > len(texts[s[1]]):
+            s[1] = i
+    monkeypatch.setattr(intask, "_alike", lambda c, m, f=intask._alike: seen.append(1) or f(c, m))
+    got = briefs._fold(pd.DataFrame({"g": ["g"] * len(texts), "n": [[0, k] for k in range(len(texts))], "text": texts, "form": forms}))
+    assert [(n[1], t) for n, t in zip(got["n"], got["text"])] == [(i, texts[j]) for i, j in slots] and len(slots) > 100
+    assert len(seen) < 5000
